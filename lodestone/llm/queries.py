@@ -24,7 +24,25 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "benchmark", "item_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_found)}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    from lodestone.llm.spans import shared_spans
+
+    return shared_spans(table(spark, sf, "documents", "doc_id", "text"))
+
+
+def p8_share(spark: SparkSession, sf: str) -> DataFrame:
+    from lodestone.llm.spans import shared_share
+
+    return shared_share(table(spark, sf, "documents", "doc_id", "text"))
+
+
+def p8_lines(spark: SparkSession, sf: str) -> DataFrame:
+    from lodestone.llm.spans import dedup_lines
+
+    return dedup_lines(table(spark, sf, "documents", "doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (p6_ids, p7_found, p8_found, p8_share, p8_lines)}
 
 _GRAMS = """
   select {id}, array_to_string(w[i:i+9], ' ') as g
@@ -32,7 +50,31 @@ _GRAMS = """
         from (select {id}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as w from {table}) where len(w) >= 10)
 """
 
+_SPANS = """
+with w as (select doc_id, p, substr(text, p + 1, 200) as g
+           from (select doc_id, text, unnest(range(0, length(text) - 199)) as p from documents where length(text) >= 200)),
+s as (select doc_id, p from w join (select g from w group by g having min(doc_id) < max(doc_id)) using (g)),
+m as (select doc_id, p, case when p - lag(p) over (partition by doc_id order by p) <= 200 then 0 else 1 end as b from s),
+k as (select doc_id, p, sum(b) over (partition by doc_id order by p) as r from m),
+spans as (select doc_id, min(p) as span_start, max(p) + 200 - min(p) as span_len from k group by doc_id, r)
+"""
+
 SQL = {
+    "p8_found": _SPANS + "select doc_id, span_start, span_len from spans",
+    "p8_share": _SPANS + """
+select d.doc_id, coalesce(n_spans, 0) as n_spans, coalesce(shared_chars, 0) as shared_chars,
+       round(coalesce(shared_chars / nullif(n, 0)::double, 0), 6) as shared_share
+from (select doc_id, max(coalesce(length(text), 0)) as n from documents group by doc_id) d
+left join (select doc_id, count(*) as n_spans, sum(span_len)::bigint as shared_chars from spans group by doc_id) using (doc_id)""",
+    "p8_lines": """
+with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(0, len(string_split(text, chr(10))))) as k
+           from documents where text is not null),
+s as (select doc_id, line, length(line) as len,
+             coalesce(sum(length(line) + 1) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0)::bigint as start,
+             trim(regexp_replace(lower(line), '[\\s\\x1c-\\x1f\\x85\\p{Z}]+', ' ', 'g')) as norm from l)
+select doc_id, start as line_start, len as line_len,
+       row_number() over (partition by norm order by doc_id, start) = 1 as is_kept
+from s where length(norm) >= 30""",
     "p7_found": f"""
 with d as ({_GRAMS.format(id="doc_id", table="documents")}), i as ({_GRAMS.format(id="item_id", table="benchmark")})
 select distinct d.doc_id, i.item_id from d join i using (g)""",

@@ -12,6 +12,18 @@ from lodestone.session import table
 TOKENIZER = os.environ.get("LODESTONE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    from lodestone.llm.neardup import similar_pairs
+
+    return similar_pairs(table(spark, sf, "memories", "id", "content"), threshold=0.6, shingle=3)
+
+
+def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
+    from lodestone.llm.neardup import groups
+
+    return groups(table(spark, sf, "memories", "id", "content"), threshold=0.6, shingle=3)
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     from lodestone.llm.tokenizer import encode
 
@@ -42,7 +54,7 @@ def p8_lines(spark: SparkSession, sf: str) -> DataFrame:
     return dedup_lines(table(spark, sf, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_found, p8_found, p8_share, p8_lines)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_groups, p6_ids, p7_found, p8_found, p8_share, p8_lines)}
 
 _GRAMS = """
   select {id}, array_to_string(w[i:i+9], ' ') as g

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.session import table
 
@@ -12,6 +13,18 @@ from lodestone.session import table
 TOKENIZER = os.environ.get("LODESTONE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    from lodestone.llm.neighbours import neighbour_pairs
+
+    return neighbour_pairs(table(spark, sf, "memories_vec", "id", "embedding"))
+
+
+def p1_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    from lodestone.llm.neighbours import nearest
+
+    return nearest(table(spark, sf, "memories_vec", "id", "embedding")).withColumn("similarity", F.round("similarity", 3))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     from lodestone.llm.neardup import similar_pairs
 
@@ -54,7 +67,7 @@ def p8_lines(spark: SparkSession, sf: str) -> DataFrame:
     return dedup_lines(table(spark, sf, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_groups, p6_ids, p7_found, p8_found, p8_share, p8_lines)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_nearest, p4_found, p4_groups, p6_ids, p7_found, p8_found, p8_share, p8_lines)}
 
 _GRAMS = """
   select {id}, array_to_string(w[i:i+9], ' ') as g

@@ -1,5 +1,10 @@
 """All queries of the core and their SQL."""
-QUERIES = {}
-SQL = {}
+
+from lodestone.plans import problems
+
+QUERIES = {**problems.QUERIES}
+SQL = {**problems.SQL}
+
+
 def flagship(spark, sf):
     raise NotImplementedError

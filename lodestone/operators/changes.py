@@ -22,15 +22,15 @@ def _object(c: str) -> Column:
     return F.when(whole, F.from_json(c, "map<string,string>"))
 
 
-def read_changes(log: DataFrame) -> DataFrame:
+def read_changes(log: DataFrame, seq: str = "change_seq") -> DataFrame:
     """(seq, op, key, e, r, changed_at) of each readable delivery; e and r are attribute maps.
 
     A delivery with an entity or relation that is no complete JSON object is unreadable, one
     without a sequence number or an operation too.  The key is the id, else the entity's own
     ``id``; an empty one is none.
     """
-    parsed = log.where(F.col("change_seq").isNotNull() & F.col("op").isNotNull()).select(
-        F.col("change_seq").alias("seq"), F.lower("op").alias("op"), "id", "changed_at",
+    parsed = log.where(F.col(seq).isNotNull() & F.col("op").isNotNull()).select(
+        F.col(seq).alias("seq"), F.lower("op").alias("op"), "id", "changed_at",
         F.col("entity").isNull().alias("no_e"), F.col("relation").isNull().alias("no_r"),
         _object("entity").alias("e"), _object("relation").alias("r"),
     )

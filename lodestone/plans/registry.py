@@ -1,10 +1,15 @@
-"""All queries of the core and their SQL."""
+"""All queries of the core, their SQL, and the flagship."""
 
-from lodestone.plans import problems
+from __future__ import annotations
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.plans import problems, reference, reference_sql
 
-def flagship(spark, sf):
-    raise NotImplementedError
+QUERIES = {**reference.QUERIES, **problems.QUERIES}
+SQL = {**reference_sql.SQL, **problems.SQL}
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """Hybrid search for the ten best memories."""
+    return reference.hybrid_dedup(spark, sf)

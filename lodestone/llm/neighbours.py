@@ -69,6 +69,14 @@ def _hashes(dims: int):
     return run
 
 
+def _usable(dims: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.take(pa.array(unit_rows(batch.column(1), dims)[0]))
+
+    return run
+
+
 def _orders(x: np.ndarray, pivots: np.ndarray, prefix: int) -> tuple[np.ndarray, np.ndarray]:
     """The nearest pivots of each row in order, and all similarities."""
     sim = x @ pivots.T
@@ -227,16 +235,30 @@ def _search(dims: int, k: int, exact: bool):
     return run
 
 
-def split_files(postings: DataFrame, limit: int) -> DataFrame:
-    """Files of more than ``limit`` members are cut by the next pivots of the members' orders: a
-    member goes to the parts of the first two pivots that follow the file's own."""
-    counted = postings.withColumn("n", F.count("*").over(Window.partitionBy("file")))
-    others = F.slice(F.filter("ord", lambda p: p.cast("bigint") != F.col("file")), 1, 2)
-    parts = F.when(F.col("n") > limit, F.transform(others, lambda p: F.col("file") * 65536 + p + (1 << 40))).otherwise(F.array("file"))
-    return counted.withColumn("file", F.explode(parts)).drop("n")
+def search_files(postings: DataFrame, dims: int, k: int, exact: bool, limit: int = FILE_ROWS) -> DataFrame:
+    """(q, c, s): the nearest within each file.
+
+    Files of more than ``limit`` members are cut by the next pivots of the members' orders: a
+    member goes to the parts of the first three pivots that follow the file's own.
+    """
+    schema = "q bigint, c bigint, s double"
+    counted = postings.repartition("file").withColumn("n", F.count("*").over(Window.partitionBy("file")))
+    plain = counted.where(F.col("n") <= limit).drop("n").sortWithinPartitions("file").mapInArrow(_search(dims, k, exact), schema)
+    others = F.slice(F.filter("ord", lambda p: p.cast("bigint") != F.col("file")), 1, 3)
+    large = (
+        counted.where(F.col("n") > limit)
+        .drop("n")
+        .withColumn("o", others)
+        .withColumn("file", F.explode(F.when(F.size("o") > 0, F.transform("o", lambda p: F.col("file") * 65536 + p)).otherwise(F.array("file"))))
+        .drop("o")
+        .repartition("file")
+        .sortWithinPartitions("file")
+        .mapInArrow(_search(dims, k, exact), schema)
+    )
+    return plain.unionByName(large)
 
 
-def nearest(df: DataFrame, k: int = 10, dims: int = 768, id_col: str = "id", vec_col: str = "embedding", exact: bool = False, cell: int = CELL) -> DataFrame:
+def nearest(df: DataFrame, k: int = 10, dims: int = 768, id_col: str = "id", vec_col: str = "embedding", exact: bool = False, cell: int = CELL, file_rows: int = FILE_ROWS) -> DataFrame:
     """(id, other, similarity): the k most similar other ids of each id with a usable vector.
 
     A vector is usable if it holds ``dims`` finite numbers that are not all zero; others, null
@@ -253,6 +275,9 @@ def nearest(df: DataFrame, k: int = 10, dims: int = 768, id_col: str = "id", vec
     share = max(1, rows // (2 * wanted))
     sample = source.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(share)) == 0).limit(3 * wanted).toArrow()
     ok, x = unit_rows(sample["v"].combine_chunks() if sample["v"].num_chunks != 1 else sample["v"].chunk(0), dims)
+    if not len(ok):  # hardly any row is usable: any of those that are
+        some = source.mapInArrow(_usable(dims), "id bigint, v array<float>").limit(wanted).toArrow()
+        ok, x = unit_rows(some["v"].combine_chunks() if some["v"].num_chunks != 1 else some["v"].chunk(0), dims)
     if not len(ok):
         return spark.createDataFrame([], "id bigint, other bigint, similarity double")
     _, one = np.unique(vector_hash(x), return_index=True)
@@ -260,9 +285,8 @@ def nearest(df: DataFrame, k: int = 10, dims: int = 768, id_col: str = "id", vec
     shared = spark.sparkContext.broadcast(pivots)
 
     schema = "file bigint, id bigint, h bigint, scale float, along float, ord array<smallint>, vec binary"
-    postings = source.mapInArrow(_postings(shared, dims, k, exact), schema).repartition("file")
-    found = split_files(postings, FILE_ROWS).repartition("file").sortWithinPartitions("file") if rows > FILE_ROWS * len(pivots) // POSTED else postings.sortWithinPartitions("file")
-    near = found.mapInArrow(_search(dims, k, exact), "q bigint, c bigint, s double")
+    postings = source.mapInArrow(_postings(shared, dims, k, exact), schema)
+    near = search_files(postings, dims, k, exact, file_rows)
 
     # ids beyond the k + 1 smallest of their class: the k smallest are their nearest
     hashes = source.mapInArrow(_hashes(dims), "id bigint, h bigint")

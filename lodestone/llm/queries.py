@@ -25,6 +25,18 @@ def p1_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return nearest(table(spark, sf, "memories_vec", "id", "embedding")).withColumn("similarity", F.round("similarity", 3))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    from lodestone.llm.pii import find
+
+    return find(table(spark, sf, "memories", "id", "content"), table(spark, sf, "name_parts")).drop("end_pos")
+
+
+def p3_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    from lodestone.llm.pii import redact
+
+    return redact(table(spark, sf, "memories", "id", "content"), table(spark, sf, "name_parts"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     from lodestone.llm.neardup import similar_pairs
 
@@ -67,7 +79,7 @@ def p8_lines(spark: SparkSession, sf: str) -> DataFrame:
     return dedup_lines(table(spark, sf, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_nearest, p4_found, p4_groups, p6_ids, p7_found, p8_found, p8_share, p8_lines)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_nearest, p3_found, p3_redacted, p4_found, p4_groups, p6_ids, p7_found, p8_found, p8_share, p8_lines)}
 
 _GRAMS = """
   select {id}, array_to_string(w[i:i+9], ' ') as g

@@ -23,7 +23,7 @@ from lodestone.llm import textcodes as tc
 
 WINDOW, OVERLAP = 384, 96
 #: Windows tagged at once.
-ROWS = 192
+ROWS = 160
 #: Name parts that one broadcast may hold; a larger list is refused, not cut.
 MAX_PARTS = 1_000_000
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
@@ -135,12 +135,12 @@ def _known(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _run(df: DataFrame, parts: DataFrame, id_col: str, text_col: str, schema: str, make) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(_known(parts))
+    shared = df.sparkSession.sparkContext.broadcast((*_known(parts), pt.weights()))
     source = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given, family = shared.value
-        tagger = pt.Tagger.load()
+        given, family, weights = shared.value
+        tagger = pt.Tagger(weights)
         for batch in batches:
             for a in range(0, batch.num_rows, 1_000):
                 part = batch.slice(a, 1_000)

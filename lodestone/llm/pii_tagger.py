@@ -98,63 +98,99 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)
 
 
+@lru_cache(maxsize=1)
+def weights() -> dict[str, np.ndarray]:
+    with np.load(WEIGHTS) as z:
+        return dict(z)
+
+
 class Tagger:
     def __init__(self, params: dict[str, np.ndarray]):
         self.p = {k: v.astype(np.float32) for k, v in params.items()}
+        # sigmoid(z) = tanh(z / 2) / 2 + 1 / 2: halving those gates' weights leaves one tanh for all
+        half = np.ones(4 * self.p["rec0"].shape[0], np.float32)
+        half[: 3 * len(half) // 4] = 0.5
+        self.rec = [self.p[f"rec{d}"] * half for d in (0, 1)]
         bits = (np.arange(16)[:, None] >> np.arange(FLAGS)) & 1
         self.table = [
-            (self.p[f"char{d}"][:, None, :] + bits.astype(np.float32) @ self.p[f"flag{d}"]).reshape(SYMBOLS * 16, -1)
+            ((self.p[f"char{d}"][:, None, :] + bits.astype(np.float32) @ self.p[f"flag{d}"]) * half).reshape(SYMBOLS * 16, -1)
             for d in (0, 1)
         ]
 
     @classmethod
-    @lru_cache(maxsize=1)
     def load(cls) -> Tagger:
-        with np.load(WEIGHTS) as z:
-            return cls(dict(z))
+        return cls(weights())
 
-    def _direction(self, d: int, x: np.ndarray, out: np.ndarray) -> None:
-        """Adds the tag scores of direction d; x and out are (steps, rows)."""
+    def _direction(self, d: int, x: np.ndarray) -> np.ndarray:
+        """States of direction d (steps, rows, hidden); x is (steps, rows).
+
+        All work arrays are made once: a step is short, and fresh memory would cost more than it.
+        """
         steps, rows = x.shape
-        U, V = self.p[f"rec{d}"], self.p[f"out{d}"]
+        U, table = self.rec[d], self.table[d]
         H = U.shape[0]
-        h, c = np.zeros((rows, H), np.float32), np.zeros((rows, H), np.float32)
-        table = self.table[d]
+        states = np.empty((steps, rows, H), np.float32)
+        z, zu = np.empty((rows, 4 * H), np.float32), np.empty((rows, 4 * H), np.float32)
+        h, c, t2 = (np.zeros((rows, H), np.float32) for _ in range(3))
+        i, f, o, g = (z[:, k * H : (k + 1) * H] for k in range(4))
+        sigmoids = z[:, : 3 * H]
+        live = (x != 0).astype(np.float32)[:, :, None]
         for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
-            z = table[x[t]]
-            z += h @ U
-            g = np.tanh(z[:, 3 * H :])
-            s = _sigmoid(z[:, : 3 * H])
-            c = s[:, H : 2 * H] * c + s[:, :H] * g
-            h = s[:, 2 * H :] * np.tanh(c)
+            np.take(table, x[t], axis=0, out=z, mode="clip")
+            np.matmul(h, U, out=zu)
+            z += zu
+            np.tanh(z, out=z)
+            sigmoids *= 0.5
+            sigmoids += 0.5
+            c *= f
+            np.multiply(i, g, out=t2)
+            c += t2
             if d:  # padding stands at the end, so the backward direction begins with it
-                live = (x[t] != 0)[:, None]
-                h, c = h * live, c * live
-            out[t] += h @ V
+                c *= live[t]
+            np.tanh(c, out=t2)
+            h = states[t]
+            np.multiply(o, t2, out=h)
+        return states
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """(steps, rows, TAGS) from inputs (steps, rows), 0 being padding."""
-        out = np.zeros((*x.shape, TAGS), np.float32) + self.p["bias"]
-        self._direction(0, x, out)
-        self._direction(1, x, out)
-        return out
+        steps, rows = x.shape
+        out = np.zeros((steps * rows, TAGS), np.float32) + self.p["bias"]
+        for d in (0, 1):
+            states = self._direction(d, x)
+            out += states.reshape(steps * rows, -1) @ self.p[f"out{d}"]
+        return out.reshape(steps, rows, TAGS)
 
     def viterbi(self, e: np.ndarray, live: np.ndarray) -> np.ndarray:
         """Best tags (steps, rows); steps beyond a row's end repeat its last choice."""
         steps, rows, n = e.shape
         T = self.p["trans"]
-        best = e[0] + self.p["start"]
-        back = np.zeros((steps, rows, n), np.int8)
-        stay = np.arange(n, dtype=np.int8)
+        e = np.ascontiguousarray(e.transpose(0, 2, 1))  # (steps, tags, rows)
+        best = e[0] + self.p["start"][:, None]
+        back = np.empty((steps, n, rows), np.int8)
+        stay = np.arange(n, dtype=np.int8)[:, None]
+        top, one, better = np.empty((n, rows), np.float32), np.empty((n, rows), np.float32), np.empty((n, rows), bool)
+        ends = not live.all()
         for t in range(1, steps):
-            s = best[:, :, None] + T
-            arg = s.argmax(1)
-            new = np.take_along_axis(s, arg[:, None, :], 1)[:, 0] + e[t]
-            on = live[t][:, None]
-            best = np.where(on, new, best)
-            back[t] = np.where(on, arg, stay)
+            from_ = back[t]
+            np.add(best[0], T[0][:, None], out=top)
+            from_[:] = 0
+            for k in range(1, n):
+                np.add(best[k], T[k][:, None], out=one)
+                np.greater(one, top, out=better)
+                np.copyto(top, one, where=better)
+                np.copyto(from_, np.int8(k), where=better)
+            top += e[t]
+            if ends and not live[t].all():
+                off = ~live[t]
+                np.copyto(top, best, where=off)
+                np.copyto(from_, stay, where=off)
+            best, top = top, best
         tags = np.zeros((steps, rows), np.int8)
-        tags[-1] = best.argmax(1)
+        at = best.argmax(0)
+        every = np.arange(rows)
+        tags[-1] = at
         for t in range(steps - 1, 0, -1):
-            tags[t - 1] = np.take_along_axis(back[t], tags[t][:, None].astype(np.int64), 1)[:, 0]
+            at = back[t][at, every].astype(np.int64)
+            tags[t - 1] = at
         return tags

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import textcodes as tc
+from lodestone.session import cut
 
 CELL = 48
 PREFIX = 12
@@ -32,7 +33,7 @@ POSTED = 4
 RERANK = 160
 #: Bounds of the number of pivots; MAX_PIVOTS of 768 numbers take 24 MB in a broadcast.
 MIN_PIVOTS, MAX_PIVOTS = 32, 16_384
-#: Members of an inverted file from which it is split by the next pivot of the order.
+#: Members of an inverted file, as estimated from the sample, from which it is cut by the next pivots.
 FILE_ROWS = 6_000
 
 
@@ -86,11 +87,25 @@ def _orders(x: np.ndarray, pivots: np.ndarray, prefix: int) -> tuple[np.ndarray,
     return np.take_along_axis(near, order, 1).astype(np.int32), sim
 
 
+def _files(orders: np.ndarray, place: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and file of each posting under the pivot at ``place`` of the rows' orders.
+
+    A row under a hot pivot goes to the parts of the first three other pivots of its order.
+    """
+    pivot = orders[:, place].astype(np.int64)
+    others = [q for q in range(orders.shape[1]) if q != place][:3]
+    split = np.flatnonzero(hot[pivot]) if others else np.zeros(0, np.int64)
+    plain = np.setdiff1d(np.arange(len(pivot)), split)
+    rows = np.concatenate([plain, *[split] * len(others)]) if len(split) else plain
+    files = np.concatenate([pivot[plain], *((pivot[split] + 1) * 65_536 + orders[split, q] for q in others)]) if len(split) else pivot
+    return rows, files
+
+
 def _postings(shared, dims: int, k: int, exact: bool):
     """(id, embedding) -> one row per inverted file: file, id, hash, order, packed difference."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots = shared.value
+        pivots, hot = shared.value
         for batch in batches:
             ok, x = unit_rows(batch.column(1), dims)
             if not len(ok):
@@ -108,10 +123,11 @@ def _postings(shared, dims: int, k: int, exact: bool):
                 at = keep[a : a + 2_048]
                 rows, sim = _orders(x[at], pivots, PREFIX)
                 for p in range(min(POSTED, rows.shape[1])):
-                    file = rows[:, p]
-                    rest = x[at] - pivots[file]
+                    of, file = _files(rows, p, hot)
+                    pivot = rows[of, p]
+                    rest = x[at[of]] - pivots[pivot]
                     if exact:
-                        scale, packed = np.ones(len(at), np.float32), rest.astype(np.float32)
+                        scale, packed = np.ones(len(of), np.float32), rest.astype(np.float32)
                     else:
                         scale = np.abs(rest).max(1) / 127 + np.float32(1e-12)
                         packed = np.rint(rest / scale[:, None]).astype(np.int8)
@@ -119,10 +135,10 @@ def _postings(shared, dims: int, k: int, exact: bool):
                     width = packed.itemsize * dims
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(file.astype(np.int64)), pa.array(ids[at]), pa.array(h[at].view(np.int64)),
-                            pa.array(scale), pa.array(sim[np.arange(len(at)), file]),
-                            pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel().astype(np.int16)), rows.shape[1]).cast(pa.list_(pa.int16())),
-                            pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.arange(len(at) + 1) * width).astype(np.int32)), pa.py_buffer(raw)]),
+                            pa.array(file), pa.array(ids[at[of]]), pa.array(h[at[of]].view(np.int64)),
+                            pa.array(scale), pa.array(sim[of, pivot]),
+                            pa.FixedSizeListArray.from_arrays(pa.array(rows[of].ravel().astype(np.int16)), rows.shape[1]).cast(pa.list_(pa.int16())),
+                            pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer((np.arange(len(of) + 1) * width).astype(np.int32)), pa.py_buffer(raw)]),
                         ],
                         names=["file", "id", "h", "scale", "along", "ord", "vec"],
                     )
@@ -235,29 +251,6 @@ def _search(dims: int, k: int, exact: bool):
     return run
 
 
-def search_files(postings: DataFrame, dims: int, k: int, exact: bool, limit: int = FILE_ROWS) -> DataFrame:
-    """(q, c, s): the nearest within each file.
-
-    Files of more than ``limit`` members are cut by the next pivots of the members' orders: a
-    member goes to the parts of the first three pivots that follow the file's own.
-    """
-    schema = "q bigint, c bigint, s double"
-    counted = postings.repartition("file").withColumn("n", F.count("*").over(Window.partitionBy("file")))
-    plain = counted.where(F.col("n") <= limit).drop("n").sortWithinPartitions("file").mapInArrow(_search(dims, k, exact), schema)
-    others = F.slice(F.filter("ord", lambda p: p.cast("bigint") != F.col("file")), 1, 3)
-    large = (
-        counted.where(F.col("n") > limit)
-        .drop("n")
-        .withColumn("o", others)
-        .withColumn("file", F.explode(F.when(F.size("o") > 0, F.transform("o", lambda p: F.col("file") * 65536 + p)).otherwise(F.array("file"))))
-        .drop("o")
-        .repartition("file")
-        .sortWithinPartitions("file")
-        .mapInArrow(_search(dims, k, exact), schema)
-    )
-    return plain.unionByName(large)
-
-
 def nearest(df: DataFrame, k: int = 10, dims: int = 768, id_col: str = "id", vec_col: str = "embedding", exact: bool = False, cell: int = CELL, file_rows: int = FILE_ROWS) -> DataFrame:
     """(id, other, similarity): the k most similar other ids of each id with a usable vector.
 
@@ -274,33 +267,38 @@ def nearest(df: DataFrame, k: int = 10, dims: int = 768, id_col: str = "id", vec
     wanted = max(MIN_PIVOTS, min(MAX_PIVOTS, rows // cell))
     share = max(1, rows // (2 * wanted))
     sample = source.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(share)) == 0).limit(3 * wanted).toArrow()
+    sampled = len(sample)
     ok, x = unit_rows(sample["v"].combine_chunks() if sample["v"].num_chunks != 1 else sample["v"].chunk(0), dims)
     if not len(ok):  # hardly any row is usable: any of those that are
         some = source.mapInArrow(_usable(dims), "id bigint, v array<float>").limit(wanted).toArrow()
+        sampled = len(some)
         ok, x = unit_rows(some["v"].combine_chunks() if some["v"].num_chunks != 1 else some["v"].chunk(0), dims)
     if not len(ok):
         return spark.createDataFrame([], "id bigint, other bigint, similarity double")
     _, one = np.unique(vector_hash(x), return_index=True)
     pivots = x[one][:wanted]
-    shared = spark.sparkContext.broadcast(pivots)
+    # members of each file, from the sample's own orders
+    posted = _orders(x, pivots, POSTED)[0]
+    members = np.bincount(posted.ravel(), minlength=len(pivots)) * (rows / max(1, sampled))
+    shared = spark.sparkContext.broadcast((pivots, members > file_rows))
 
     schema = "file bigint, id bigint, h bigint, scale float, along float, ord array<smallint>, vec binary"
     postings = source.mapInArrow(_postings(shared, dims, k, exact), schema)
-    near = search_files(postings, dims, k, exact, file_rows)
+    near = postings.repartition("file").sortWithinPartitions("file").mapInArrow(_search(dims, k, exact), "q bigint, c bigint, s double")
 
     # ids beyond the k + 1 smallest of their class: the k smallest are their nearest
     hashes = source.mapInArrow(_hashes(dims), "id bigint, h bigint")
-    large = hashes.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).select("h")
-    members = hashes.join(large, "h", "left_semi").distinct()
-    first = members.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("id"))).where(F.col("r") <= k + 1)
-    rest = (
-        members.join(first.select("h", F.col("id").alias("c"), "r"), "h")
-        .where("id <> c")
-        .select(F.col("id").alias("q"), "c", F.lit(1.0).alias("s"))
-    )
+    large = cut(hashes.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).select("h"))
+    if not large.isEmpty():
+        members = hashes.join(large, "h", "left_semi").distinct()
+        first = members.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("id"))).where(F.col("r") <= k + 1)
+        near = near.unionByName(
+            members.join(first.select("h", F.col("id").alias("c"), "r"), "h")
+            .where("id <> c")
+            .select(F.col("id").alias("q"), "c", F.lit(1.0).alias("s"))
+        )
     best = (
-        near.unionByName(rest)
-        .repartition("q")
+        near.repartition("q")
         .groupBy("q", "c")
         .agg(F.max("s").alias("s"))
         .withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.round("s", 9).desc(), "c")))

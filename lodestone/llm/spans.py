@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import textcodes as tc
+from lodestone.session import cut
 
 #: k-gram of which the smallest in a window owns it.
 GRAM = 48
@@ -198,10 +199,14 @@ def shared_spans(docs: DataFrame, length: int = 200, gram: int = GRAM, hot: int
     covered = copied.select("d", F.lit(0).cast("bigint").alias("s"), F.col("len").cast("bigint").alias("e"))
     stand_ins = copied.where("d <> least").select("d")  # all but one of each group of copies
 
-    units = source.mapInArrow(_units(length, gram), "u bigint, d bigint, f int").join(stand_ins, "d", "left_anti")
-    repeated = units.groupBy("u").agg(F.min("d").alias("a"), F.max("d").alias("z"), F.count("*").alias("c")).where("a < z")
+    units = cut(source.mapInArrow(_units(length, gram), "u bigint, d bigint, f int").join(stand_ins, "d", "left_anti"))
+    repeated = cut(
+        units.groupBy("u").agg(F.min("d").alias("a"), F.max("d").alias("z"), F.count("*").alias("c"))
+        .where("a < z")
+        .select("u", (F.col("c") > hot).alias("hot"))
+    )
     wanted = (
-        units.join(repeated.select("u", (F.col("c") > hot).alias("hot")), "u")
+        units.join(repeated, "u")
         .groupBy("d")
         .agg(F.collect_list(F.struct("f", "hot")).alias("w"))  # at most one per position of one text
     )
@@ -215,10 +220,11 @@ def shared_spans(docs: DataFrame, length: int = 200, gram: int = GRAM, hot: int
         .sortWithinPartitions("u")
         .mapInArrow(_compare(length), "d bigint, f bigint, n bigint")
     )
-    singles = found.where("h is not null").select("h", "d", "f")
-    several = singles.groupBy("h").agg(F.min("d").alias("a"), F.max("d").alias("z")).where("a < z").select("h")
-    hot_runs = singles.join(several, "h", "left_semi").select("d", F.col("f").cast("bigint").alias("f"), F.lit(1).cast("bigint").alias("n"))
-    pieces = runs.unionByName(hot_runs).select("d", F.col("f").alias("s"), (F.col("f") + F.col("n") + (length - 1)).alias("e"))
+    if not repeated.where("hot").isEmpty():
+        singles = found.where("h is not null").select("h", "d", "f")
+        several = singles.groupBy("h").agg(F.min("d").alias("a"), F.max("d").alias("z")).where("a < z").select("h")
+        runs = runs.unionByName(singles.join(several, "h", "left_semi").select("d", F.col("f").cast("bigint").alias("f"), F.lit(1).cast("bigint").alias("n")))
+    pieces = runs.select("d", F.col("f").alias("s"), (F.col("f") + F.col("n") + (length - 1)).alias("e"))
     return merge_spans(pieces.unionByName(covered), "d").select(
         F.col("d").alias(doc_id), F.col("s").alias("span_start"), (F.col("e") - F.col("s")).alias("span_len")
     )

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textcodes as tc
@@ -200,31 +200,30 @@ def _search_nodes(limit: int, two_blocks: bool):
 
 def candidates(classes: DataFrame, limit: int, node_rows: int = NODE_ROWS) -> DataFrame:
     """Distinct pairs (a < b) of class ids whose fingerprints are near and that share an upper node."""
-    rows = classes.select("id", "hi", "lo", F.explode("keys").alias("key")).repartition("key")
-    n = F.count("*").over(Window.partitionBy("key"))
-    counted = rows.withColumn("n", n).where("n > 1")
-    plain = (
-        counted.where(F.col("n") <= node_rows)
-        .select("key", "id", "hi", "lo", F.lit(-1).alias("side"))
-        .sortWithinPartitions("key")
-        .mapInArrow(_search_nodes(limit, False), "a bigint, b bigint")
-    )
-    blocks = F.ceil(F.col("n") / node_rows).cast("int")
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    rows = classes.select("id", "hi", "lo", F.explode("keys").alias("key"))
+    # few nodes are large, mostly none: their keys are counted before anything moves
+    hot = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > node_rows))
+    some = not hot.isEmpty()
+
+    def searched(rows: DataFrame, two_blocks: bool) -> DataFrame:
+        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_search_nodes(limit, two_blocks), "a bigint, b bigint")
+
+    plain = rows.join(hot, "key", "left_anti") if some else rows
+    plain = searched(plain.select("key", "id", "hi", "lo", F.lit(-1).alias("side")), False)
+    if not some:
+        return plain.distinct()
     large = (
-        counted.where(F.col("n") > node_rows)
-        .withColumn("blocks", blocks)
-        .withColumn("mine", mine)
+        rows.join(hot, "key")
+        .withColumn("blocks", F.ceil(F.col("n") / node_rows).cast("int"))
+        .withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
             F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"),
             "id", "hi", "lo",
             F.when(F.col("mine") == F.col("other"), -1).otherwise((F.col("mine") > F.col("other")).cast("int")).alias("side"),
         )
-        .repartition("key")
-        .sortWithinPartitions("key")
-        .mapInArrow(_search_nodes(limit, True), "a bigint, b bigint")
     )
+    large = searched(large, True)
     return plain.unionByName(large).distinct()
 
 
@@ -250,9 +249,9 @@ class NearDuplicates:
             F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t")
         )
         prints = cut(source.mapInArrow(_fingerprints(shingle, min_words), "id bigint, sh bigint, hi bigint, lo bigint, keys array<bigint>"))
-        classes = prints.groupBy("sh").agg(
+        classes = cut(prints.groupBy("sh").agg(
             F.min("id").alias("id"), F.max("id").alias("most"), F.first("hi").alias("hi"), F.first("lo").alias("lo"), F.first("keys").alias("keys")
-        )
+        ))
         several = classes.where("id < most").select("sh", F.col("id").alias("rep"))
         #: (rep, id): the members, the representative among them, of classes of two or more
         self.members = cut(prints.select("sh", "id").join(several, "sh").select("rep", "id").distinct())
@@ -291,7 +290,7 @@ def similar_pairs(df: DataFrame, threshold: float = 0.8, shingle: int = 5, min_w
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-def components(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """(id, root): the smallest id of the connected component, for each id of pairs (a, b).
 
     Large-star and small-star in turn: each step hangs neighbours on the smallest one, so that
@@ -299,7 +298,7 @@ def components(pairs: DataFrame, rounds: int = 50) -> DataFrame:
     """
     edges = pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x <> y").distinct()
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select("y", "x"))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()

@@ -81,15 +81,15 @@ def stale_items(scored: DataFrame) -> DataFrame:
 def promotion_plan(promoted: DataFrame, memory: DataFrame) -> DataFrame:
     """Promotions whose first 50 characters stand nowhere in MEMORY.md, whatever the case.
 
-    ``memory`` holds its chunks (content).  The chunks are matched by the hashes of their
-    windows of that length, so the join is an equi-join and neither side is collected.
+    ``memory`` holds its chunks (content).  They are matched by their windows of the lengths that
+    occur, which are 51 at most, so the join is an equi-join and neither side is collected.
     """
     probes = promoted.withColumn("probe", F.lower(F.substring("text", 1, 50))).withColumn("n", F.length("probe"))
-    sizes = probes.select("n").distinct()  # at most 50 rows
+    sizes = [r.n for r in probes.select("n").where("n is not null").distinct().collect()]
     windows = (
         memory.where("content is not null")
-        .select(F.lower("content").alias("c"))
-        .join(F.broadcast(sizes), F.length("c") >= F.col("n"))
+        .select(F.lower("content").alias("c"), F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("n"))
+        .where(F.length("c") >= F.col("n"))
         .select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("c") - F.col("n") + 1), lambda i: F.substring(F.col("c"), i, F.col("n")))).alias("probe"))
     )
     return probes.join(windows, ["n", "probe"], "left_anti").drop("n", "probe")

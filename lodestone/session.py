@@ -30,10 +30,12 @@ def table(spark: SparkSession, directory: str, name: str, *columns: str) -> Data
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir; a temporary one is set only
-    where the session has none, as in local tests."""
+    where a local session has none, as in tests; a cluster without one is refused."""
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), "lodestone-checkpoints")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)

@@ -31,7 +31,7 @@ def _place() -> Column:
 
 
 def clusters(lines: DataFrame, least_days: int = 2) -> DataFrame:
-    """(key, n_items, date_count, dates, sources, sample_text): keys on ``least_days`` days or more.
+    """(key, n_items, dates, sources, sample_text, first, date_count): keys on ``least_days`` days or more.
 
     The arrays are sets of days and files per key; the lines themselves are not collected.
     """
@@ -44,12 +44,29 @@ def clusters(lines: DataFrame, least_days: int = 2) -> DataFrame:
             F.sort_array(F.collect_set("day")).alias("dates"),
             F.sort_array(F.collect_set("source")).alias("sources"),
             F.min_by("text", _place()).alias("sample_text"),
+            F.min(_place()).alias("first"),
         )
         .withColumn("date_count", F.size("dates"))
         .where(F.col("date_count") >= least_days)
     )
 
 
+def top_clusters(lines: DataFrame, n: int = 10, least_days: int = 2) -> DataFrame:
+    """The clusters on most days; equal ones by first appearance."""
+    return clusters(lines, least_days).orderBy(F.desc("date_count"), "first").limit(n)
+
+
+def line_stats(lines: DataFrame) -> DataFrame:
+    """One row: lines, files and days."""
+    return lines.agg(F.count("*").alias("n_lines"), F.count_distinct("source").alias("n_files"), F.count_distinct("day").alias("n_days"))
+
+
+def summary_of(cluster_text: Column, summary: Column | None = None) -> Column:
+    """A summary made elsewhere, or the first 80 characters of the sample."""
+    start = F.substring(cluster_text, 1, 80)
+    return start if summary is None else F.coalesce(F.nullif(summary, F.lit("")), start)
+
+
 def duplicates(lines: DataFrame) -> DataFrame:
     """(text, source1, source2, date1, date2): each later line of a key whose first occurrence
     stands in another file.  The first occurrence comes from an aggregation and is joined."""

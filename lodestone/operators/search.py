@@ -164,6 +164,14 @@ def hybrid_search(memories: DataFrame, vectors: DataFrame, query: str, limit: in
     return (best_per_source(fused) if dedup else fused).orderBy(F.desc("rrf"), "id").limit(limit)
 
 
+def with_details(found: DataFrame, memories: DataFrame, most: int = 300) -> DataFrame:
+    """Adds the first ``most`` characters of the content, the category and the layer to a result."""
+    details = memories.where("id is not null").groupBy("id").agg(F.max(F.struct("content", "category", "layer")).alias("m"))
+    return found.join(details, "id", "left").withColumn("content", F.substring("m.content", 1, most)).withColumn("category", F.col("m.category")).withColumn(
+        "layer", F.col("m.layer")
+    ).drop("m")
+
+
 def store_stats(memories: DataFrame, vectors: DataFrame) -> DataFrame:
     """One row: memories, sources, usable ids with a vector, latest creation."""
     one = one_per_id(memories).agg(

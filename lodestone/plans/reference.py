@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as fx
-from lodestone.operators import chunks, consolidate, health, items, ontology, search
+from lodestone.operators import chunks, consolidate, health, indexing, items, ontology, search
 from lodestone.session import table
 from lodestone.sources import notes as ns
 
@@ -135,6 +135,15 @@ def clusters(spark, sf):
     return found.select("key", "n_items", "date_count", F.array_join(F.transform("dates", lambda d: d.cast("string")), "|").alias("dates"), F.array_join("sources", "|").alias("sources"), "sample_text")
 
 
+def top_clusters(spark, sf):
+    found = consolidate.top_clusters(consolidate.advisor_lines(daily(spark, sf)))
+    return found.select("key", "date_count", consolidate.summary_of(F.col("sample_text")).alias("summary"))
+
+
+def advisor_stats(spark, sf):
+    return consolidate.line_stats(consolidate.advisor_lines(daily(spark, sf), as_of(), 90))
+
+
 def duplicates(spark, sf):
     found = consolidate.duplicates(consolidate.advisor_lines(daily(spark, sf)))
     return found.withColumns({c: F.col(c).cast("string") for c in ("date1", "date2")})
@@ -245,7 +254,7 @@ def chunk_cap(spark, sf):
 
 
 def corpus_classes(spark, sf):
-    return ns.classify_files(table(spark, sf, "documents", "source").where("source is not null").distinct().withColumnRenamed("source", "file_path"))
+    return ns.classify_files(table(spark, sf, "documents", "source").where("source is not null").distinct().withColumnRenamed("source", "file_path")).drop("file_path")
 
 
 def jsonl_contents(spark, sf):
@@ -290,6 +299,16 @@ def hybrid_dedup(spark, sf):
     return found.select("id", "source", "lex_rank", "vec_rank", F.round("rrf", 6).alias("rrf"), F.round("boosted", 6).alias("boosted"))
 
 
+def hybrid_results(spark, sf):
+    found = search.hybrid_search(memories(spark, sf), vectors(spark, sf), QUERY, 5)
+    return search.with_details(found, memories(spark, sf)).select("id", "source", F.round("rrf", 6).alias("rrf"), "content", "category", "layer")
+
+
+def index_documents(spark, sf):
+    files = table(spark, sf, "documents", "source", "text").where("source is not null").select(F.col("source").alias("file_path"), F.col("text").alias("content"))
+    return indexing.index_workspace(files, as_of().cast("timestamp")).groupBy("source", "category", "layer", "score").agg(F.count("*").alias("n_chunks"))
+
+
 def store_stats(spark, sf):
     return search.store_stats(memories(spark, sf), vectors(spark, sf)).withColumn("latest", F.date_format("latest", "yyyy-MM-dd HH:mm:ss"))
 
@@ -307,10 +326,10 @@ QUERIES = {
     for f in (
         item_extract, noise_filter, category_detect, category_hist, text_key_norm, cluster_key_norm, entity_extract,
         decay_score, freq_boost, item_score, dedup_keep_first, score_topk, score_stats, promotions, archive_candidates,
-        archive_sources, item_hash, clusters, duplicates, advisor_promotions, stale, recommendations, pii_redact, pii_counts,
+        archive_sources, item_hash, clusters, top_clusters, advisor_stats, duplicates, advisor_promotions, stale, recommendations, pii_redact, pii_counts,
         promotion_apply_plan, ontology_replay, ontology_entities, ontology_types, ontology_orphans, ontology_totals,
         ontology_dedup, section_sizes, size_check, note_hygiene, archive_plan, stale_facts, stale_contexts, drift,
         trend_series, pipeline_status, chunk_docs, chunk_cap, corpus_classes, jsonl_contents, lexical_search, vector_l2,
-        vector_cosine, hybrid_rrf, hybrid_boosted, hybrid_dedup, store_stats, category_breakdown, layer_breakdown,
+        vector_cosine, hybrid_rrf, hybrid_boosted, hybrid_dedup, hybrid_results, index_documents, store_stats, category_breakdown, layer_breakdown,
     )
 }

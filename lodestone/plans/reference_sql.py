@@ -232,6 +232,9 @@ SQL = {
     "archive_sources": _SCORED + "select source, count(*) as n from scored where score < 0.05 and source <> 'MEMORY.md' group by source",
     "item_hash": f"select id, substr(sha256(content), 1, 16) as hash from {_ONE}",
     "clusters": _ADVISOR + "select * from clusters",
+    "top_clusters": _ADVISOR + """select c.key, c.date_count, substr(c.sample_text, 1, 80) as summary from clusters c
+join (select key, min((source, i)) as first from keyed group by key) f using (key) order by c.date_count desc, f.first limit 10""",
+    "advisor_stats": _ADVISOR + f"select count(*) as n_lines, count(distinct source) as n_files, count(distinct day) as n_days from adv where day > {_DAY} - 90",
     "duplicates": _ADVISOR + "select * from dups",
     "advisor_promotions": _PROMOTED + "select text, score, category, source, day::varchar as day, frequency from promoted",
     "stale": _SCORED + "select text, score, category from scored where source = 'MEMORY.md' and score < 0.15",
@@ -290,6 +293,8 @@ select file_name, k.category as category, k.layer as layer, k.source as source,
     "hybrid_rrf": _L2 + "select id, source, lex_rank, vec_rank, round(rrf, 6) as rrf from floored",
     "hybrid_boosted": _L2 + "select id, round(rrf, 6) as rrf, round(boosted, 6) as boosted from boosted",
     "hybrid_dedup": _L2 + "select id, source, lex_rank, vec_rank, round(rrf, 6) as rrf, round(boosted, 6) as boosted from (select * from best order by rrf desc, id limit 10)",
+    "hybrid_results": _L2.replace("<= 40", "<= 20") + """select b.id, b.source, round(rrf, 6) as rrf, substr(content, 1, 300) as content, category, layer
+from (select * from best order by rrf desc, id limit 5) b join one using (id)""",
     "store_stats": f"""select count(*) as memories, count(distinct source) as sources, strftime(max(created_at) at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as latest,
   (select count(distinct id) from memories_vec where id is not null and embedding is not null) as vectors from {_ONE}""",
     "category_breakdown": f"select lower(category) as category, count(*) as n from {_ONE} group by lower(category)",

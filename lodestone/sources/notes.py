@@ -61,7 +61,7 @@ def long_term(memories: DataFrame, as_of: Column) -> DataFrame:
 def classify_files(files: DataFrame) -> DataFrame:
     """(file_name, category, layer, source, score) by a file's place in the workspace.
 
-    ``file_path`` is relative to the workspace; files of no class are left out.
+    ``file_path`` is relative to the workspace; files of no class are left out, other columns (``content``, say) stay.
     """
     p, name = F.col("file_path"), F.element_at(F.split("file_path", "/"), -1)
     rule = lambda category, layer, source, score: F.struct(
@@ -76,7 +76,8 @@ def classify_files(files: DataFrame) -> DataFrame:
         .when(p == "TOOLS.md", rule(F.lit("config"), "procedural", name, 0.7))
         .when(p.rlike(r"\A(?:memory/)?ontology/graph\.jsonl\z"), rule(F.lit("ontology"), "semantic", F.lit("ontology/graph.jsonl"), 0.6))
     )
-    return files.withColumn("k", klass).where("k is not null").select(name.alias("file_name"), "k.*")
+    kept = [c for c in files.columns if c not in ("file_name", "category", "layer", "source", "score")]
+    return files.withColumn("k", klass).where("k is not null").select(*kept, name.alias("file_name"), "k.*")
 
 
 def jsonl_contents(lines: DataFrame, column: str = "value") -> DataFrame:

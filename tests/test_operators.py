@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as fx
-from lodestone.operators import chunks, consolidate, health, items, ontology, search
+from lodestone.operators import chunks, consolidate, health, indexing, items, ontology, search
 from lodestone.sources import notes as ns
 
 DAY = dt.date(2026, 3, 1)
@@ -276,3 +276,31 @@ def test_ontology_by_line(spark):
 def test_strip_is_unicode(spark):
     assert values(spark, fx.strip, ["  a\tb \n"]) == ["a\tb"]
     assert re.fullmatch(r"[0-9a-f]{16}", values(spark, fx.short_hash, ["x"])[0])
+
+
+def test_indexing(spark):
+    rows = [("memory/2026-01-02.md", "text"), ("archive/2026-05.md", "x " * 1_500), ("skills/a/SKILL.md", None), ("memory/big-plan-notes.md", " "), ("other/x.txt", "no class"), ("ontology/graph.jsonl", "{}")]
+    files = spark.createDataFrame([(*r, "clash") for r in rows], "file_path string, content string, source string")
+    got = {r.source: (r.category, r.layer, r.score) for r in indexing.index_workspace(files, F.current_timestamp()).collect()}
+    assert got == {"2026-01-02.md": ("daily-note", "episodic", 0.3), "archive/2026-05.md": ("archive", "episodic", 0.1), "ontology/graph.jsonl": ("ontology", "semantic", 0.6)}
+    one = indexing.index_directory(spark.createDataFrame([("a.md", "text")], "file_name string, content string"), F.current_timestamp())
+    assert one.columns == list(indexing.MEMORY_COLUMNS) and one.first().score == 0.5
+
+    def client():
+        calls = []
+
+        def call(text):
+            calls.append(text)
+            if len(calls) == 1 or text == "bad":
+                raise OSError("busy")
+            return [float(len(text))]
+
+        return call
+
+    some = spark.createDataFrame([(1, "four"), (2, "bad"), (3, None)], "id bigint, content string").coalesce(1)
+    assert {r.id: r.embedding for r in indexing.embed(some, client).collect()} == {1: [4.0], 2: None}
+
+
+def test_json_lines(spark):
+    df = spark.createDataFrame([('{"name": "A", "type": "T"}',), ('{"x": 1}',), ("{cut",), (" ",), (None,)], "value string")
+    assert sorted(r.content for r in ns.jsonl_contents(df).collect()) == [" ()", "A (T)"]

@@ -7,6 +7,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from lodestone.plans import registry
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -21,8 +22,7 @@ def plain(v):
     return v.replace(tzinfo=None) if isinstance(v, dt.datetime) else v
 
 
-@pytest.fixture(scope="module")
-def duck(sf):
+def connect(sf):
     con = duckdb.connect()
     con.execute("set timezone='UTC'")
     for f in os.listdir(sf):
@@ -30,11 +30,14 @@ def duck(sf):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
-def test_query(spark, sf, duck, name):
-    df = entry.queries()[name](spark, sf)
+@pytest.fixture(scope="module")
+def duck(sf):
+    return connect(sf)
+
+
+def same(df, duck, sql):
     columns = sorted(df.columns)
-    result = duck.execute(entry.oracle_sql()[name])
+    result = duck.execute(sql)
     names = [d[0] for d in result.description]
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
@@ -44,6 +47,11 @@ def test_query(spark, sf, duck, name):
     assert got == want
 
 
+@pytest.mark.parametrize("name", sorted(registry.SQL))
+def test_query(spark, sf, duck, name):
+    same(registry.QUERIES[name](spark, sf), duck, registry.SQL[name])
+
+
 def test_entry(spark, sf):
     df = entry.entry(spark)
     assert df.columns == ["id", "source", "lex_rank", "vec_rank", "rrf", "boosted"] and df.count() >= 0

@@ -47,8 +47,9 @@ def _owners(codes: np.ndarray, prefix: np.ndarray, begins: np.ndarray, length: i
         z = np.zeros(0, np.int64)
         return z, z, z, z
     g = tc.span_hash(prefix, np.arange(n - gram + 1), np.arange(gram, n + 1))
-    # value above, position (reversed) below: the minimum is the last of the smallest
-    low = np.uint64(n.bit_length())
+    # value above, position (reversed) below: the minimum is the last of the smallest; the same
+    # 32 bits decide in every batch, so equal windows have equal owners wherever they stand
+    low = np.uint64(32)
     best = (g >> low << low) | (np.uint64(n) - np.arange(len(g), dtype=np.uint64))
     width, span = length - gram + 1, 1
     while span < width:
@@ -58,7 +59,7 @@ def _owners(codes: np.ndarray, prefix: np.ndarray, begins: np.ndarray, length: i
     text = np.repeat(np.arange(len(count)), np.maximum(count, 0))
     full = np.maximum(count, 0)
     start = begins[:-1][text] + np.arange(len(text)) - (np.cumsum(full) - full)[text]
-    owner = n - (best[start] & np.uint64((1 << int(low)) - 1)).astype(np.int64)
+    owner = n - (best[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     head = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (text[1:] != text[:-1])])
     tail = np.r_[head[1:], len(owner)] - 1
     return owner[head], start[head], start[tail], text[head]

@@ -46,3 +46,13 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows of df as files in the shared folder, so that what is lost is read and not redone."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, for work that costs far more than a shuffle of its rows.
+
+    Few or small files give fewer partitions than there are cores; then, and only then, the rows
+    are dealt out evenly, so that no file, key or repeated row is one task's work.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)

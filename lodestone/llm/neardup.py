@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textcodes as tc
-from lodestone.session import cut
+from lodestone.session import cut, spread
 
 NODES = 14
 BITS = 128
@@ -248,7 +248,7 @@ class NearDuplicates:
         source = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
             F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t")
         )
-        prints = cut(source.mapInArrow(_fingerprints(shingle, min_words), "id bigint, sh bigint, hi bigint, lo bigint, keys array<bigint>"))
+        prints = cut(spread(source).mapInArrow(_fingerprints(shingle, min_words), "id bigint, sh bigint, hi bigint, lo bigint, keys array<bigint>"))
         classes = cut(prints.groupBy("sh").agg(
             F.min("id").alias("id"), F.max("id").alias("most"), F.first("hi").alias("hi"), F.first("lo").alias("lo"), F.first("keys").alias("keys")
         ))

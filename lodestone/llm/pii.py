@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import pii_tagger as pt
 from lodestone.llm import textcodes as tc
+from lodestone.session import spread
 
 WINDOW, OVERLAP = 384, 96
 #: Windows tagged at once.
@@ -136,7 +137,7 @@ def _known(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _run(df: DataFrame, parts: DataFrame, id_col: str, text_col: str, schema: str, make) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast((*_known(parts), pt.weights()))
-    source = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"))
+    source = spread(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given, family, weights = shared.value

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textcodes as tc
+from lodestone.session import spread
 
 #: Pieces kept per task; the table is emptied when full, which changes no result.
 KEPT_PIECES = 400_000
@@ -271,7 +272,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["id", "ids"])
 
     return (
-        df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
         .mapInArrow(run, f"id {kind}, ids array<int>")
         .toDF(id_col, ids_col)
     )

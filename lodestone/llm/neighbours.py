@@ -10,8 +10,11 @@ A posting carries the vector as the difference from the file's pivot in one byte
 difference is short, so a similarity is wrong by about 0.00002.  With float32 postings (exact=True)
 it is not wrong at all, for four times the shuffle.
 
-Rows with equal vectors are settled by hash: of each such class the k + 1 smallest ids are
-posted, which is all that can be among the k nearest; the other ids get these by a join.
+Rows of one hash are a class, of which the k + 1 smallest ids are posted.  A hash parts vectors of
+one direction whose float32 numbers are rounded apart, so equality at nine decimals is settled on
+the side, whatever is posted: classes that share a cell of random projections (neighbouring cells
+included, where a projection lies near a border) are compared in float64, and each id gets the k
+smallest ids among the classes equal to its own by a join.
 """
 
 from __future__ import annotations
@@ -35,6 +38,12 @@ RERANK = 160
 MIN_PIVOTS, MAX_PIVOTS = 32, 16_384
 #: Members of an inverted file, as estimated from the sample, from which it is cut by the next pivots.
 FILE_ROWS = 6_000
+#: Random projections of a cell, and the width of a cell in margins (see cells()).
+PROJECTIONS, WIDTH = 8, 32
+#: Length of the difference of two vectors of length one whose cosine is 1 at nine decimals, at most.
+EQUAL = 3.17e-5
+#: What is not settled as equal stays below it.
+BELOW_ONE = np.nextafter(np.float32(1), np.float32(0))
 
 
 def unit_rows(embedding: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,17 +64,121 @@ def unit_rows(embedding: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def vector_hash(x: np.ndarray) -> np.ndarray:
-    """64-bit hash of each row's direction (rounded, so that lengths of one direction agree)."""
+    """64-bit hash of each row's direction (rounded; see cells() for equal ones that this parts)."""
     q = np.rint(x * np.float32(1 << 20)).astype(np.int64).view(np.uint64)
     weights = tc.mix(np.arange(1, x.shape[1] + 1, dtype=np.uint64)) | np.uint64(1)
     return tc.mix((tc.mix(q) * weights).sum(1, dtype=np.uint64))
 
 
+def cells(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell), a row one time or several: rows equal at nine decimals share a cell.
+
+    A cell is a hash of the rounded random projections.  Projections of equal rows differ by less
+    than the margin, which is EQUAL or, in many dimensions, seven standard deviations of what a
+    difference of that length gives; a row whose projection is nearer than that to a border is in
+    the cells on both sides of it.
+    """
+    dims = x.shape[1]
+    directions = np.random.default_rng(11).normal(size=(dims, PROJECTIONS))
+    directions = (directions / np.linalg.norm(directions, axis=0)).astype(np.float32)
+    margin = EQUAL * min(1.0, 7 / math.sqrt(dims)) + 1e-6
+    at = (x @ directions).astype(np.float64) / (WIDTH * margin)
+    weights = tc.mix(np.arange(1, PROJECTIONS + 1, dtype=np.uint64)) | np.uint64(1)
+    rows, total = np.arange(len(x)), np.zeros(len(x), np.uint64)
+    for p in range(PROJECTIONS):
+        low = np.floor(at[:, p] - 1 / WIDTH).astype(np.int64)[rows]
+        high = np.floor(at[:, p] + 1 / WIDTH).astype(np.int64)[rows]
+        both = np.flatnonzero(low != high)
+        part = np.concatenate([low, high[both]]).view(np.uint64)
+        rows, total = np.concatenate([rows, rows[both]]), np.concatenate([total, total[both]])
+        total = total + tc.mix(part) * weights[p]
+    return rows, tc.mix(total)
+
+
 def _hashes(dims: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok, x = unit_rows(batch.column(1), dims)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok)), pa.array(vector_hash(x).view(np.int64))], names=["id", "h"])
+            rows, cell = cells(x)
+            by = np.argsort(rows, kind="stable")
+            ends = np.r_[0, np.cumsum(np.bincount(rows, minlength=len(ok)))].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(cell[by].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok)), pa.array(vector_hash(x).view(np.int64)), lists], names=["id", "h", "cells"])
+
+    return run
+
+
+def _celled(shared, dims: int):
+    """(id, embedding) -> (cell, id, hash, vector) of the ids shared, one row per cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value  # ascending
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            place = np.minimum(np.searchsorted(wanted, ids), len(wanted) - 1)
+            batch = batch.take(pa.array(np.flatnonzero(wanted[place] == ids)))
+            ok, x = unit_rows(batch.column(1), dims)
+            rows, cell = cells(x)
+            h, of = vector_hash(x).view(np.int64), pa.array(ok[rows])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cell.view(np.int64)), batch.column(0).take(of), pa.array(h[rows]), batch.column(1).take(of)], names=["cell", "id", "h", "v"]
+            )
+
+    return run
+
+
+def equal_rows(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, other): the first ``most`` rows whose cosine with a row is 1 at nine decimals.
+
+    A row is done once it has them, so that many equal rows don't cost the square of their number.
+    """
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(1)[:, None]
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    out_q, out_c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a in range(0, len(x), 2_048):
+        q = np.arange(a, min(len(x), a + 2_048))
+        found = np.zeros(len(q), np.int64)
+        for b in range(0, len(x), 512):
+            same = np.round(x[q] @ x[b : b + 512].T, 9) >= 1
+            same &= found[:, None] + np.cumsum(same, axis=1) <= most
+            i, j = np.nonzero(same)
+            out_q.append(q[i])
+            out_c.append(b + j)
+            found += same.sum(1)
+            q, found = q[found < most], found[found < most]
+            if not len(q):
+                break
+    return np.concatenate(out_q), np.concatenate(out_c)
+
+
+def _equal(dims: int, k: int):
+    """Rows of _celled(), sorted by cell and id -> (h, other): classes equal at nine decimals, the
+    k + 1 with the smallest ids (no other class can hold one of the k + 1 smallest ids)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            cell = batch.column(0).to_numpy()
+            starts = np.flatnonzero(np.r_[not held or held[-1].column(0)[-1].as_py() != cell[0], cell[1:] != cell[:-1]])
+            last = 0
+            for s in starts:
+                held += [batch.slice(last, s - last)] if s > last else []
+                if held:
+                    yield from one(held)
+                held, last = [], s
+            held.append(batch.slice(last))
+        if held:
+            yield from one(held)
+
+    def one(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        h = t["h"].to_numpy()
+        first = np.sort(np.unique(h, return_index=True)[1])
+        if len(first) > 1:
+            v = t["v"].chunk(0).flatten().to_numpy(zero_copy_only=False).reshape(len(h), dims)
+            q, c = equal_rows(v[first], k + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(h[first[q]]), pa.array(h[first[c]])], names=["h", "other"])
 
     return run
 
@@ -189,6 +302,7 @@ def _nearest_in_file(ids, h, scale, along, order, vec, k: int):
             cos = rest[q] @ rest.T
         # x.y = (p + r).(p + s) with p.r = along - 1
         cos = cos + (a[q][:, None] + a[cand] - 1)
+        cos = np.minimum(cos, BELOW_ONE)
         cos[hh[cand] == hh[q][:, None]] = 1.0
         cos[cand == q[:, None]] = -9
         take = min(k, cand.shape[1] - 1)
@@ -251,12 +365,40 @@ def _search(dims: int, k: int, exact: bool):
     return run
 
 
+def _equal_ids(source: DataFrame, dims: int, k: int) -> DataFrame | None:
+    """(q, c, s = 1): the k smallest other ids equal to an id at nine decimals, of the ids whose
+    class is cut or equal to another one; None if there are none."""
+    spark = source.sparkSession
+    hashes = cut(source.mapInArrow(_hashes(dims), "id bigint, h bigint, cells array<bigint>"))
+    celled = hashes.select("h", F.explode("cells").alias("cell"))
+    crowded = celled.groupBy("cell").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("cell")
+    suspects = celled.join(crowded, "cell", "left_semi").select("h").distinct()
+    wanted = hashes.join(suspects, "h", "left_semi").groupBy("h").agg(F.min("id").alias("id")).select("id").toArrow()["id"].to_numpy()
+    large = hashes.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > k + 1)
+    equal = large.select("h", F.col("h").alias("other"))
+    if len(wanted):
+        shared = spark.sparkContext.broadcast(np.sort(wanted))
+        found = source.mapInArrow(_celled(shared, dims), "cell bigint, id bigint, h bigint, v array<float>")
+        found = found.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(_equal(dims, k), "h bigint, other bigint")
+        equal = equal.unionByName(found.where("h <> other")).unionByName(found.where("h <> other").select("h", F.col("h").alias("other")))
+    equal = cut(equal.distinct())
+    if equal.isEmpty():
+        return None
+    # of the classes that stand in equal: the k + 1 smallest ids of each, then of all equal to it
+    members = hashes.select("id", "h").join(equal.select("h").union(equal.select("other")).distinct(), "h", "left_semi").distinct()
+    smallest = lambda rows: rows.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("c"))).where(F.col("r") <= k + 1).drop("r")
+    first = smallest(members.withColumnRenamed("id", "c"))
+    first = smallest(equal.join(first.withColumnRenamed("h", "other"), "other").select("h", "c"))
+    return members.join(first, "h").where("id <> c").select(F.col("id").alias("q"), "c", F.lit(1.0).alias("s"))
+
+
 def nearest(df: DataFrame, k: int = 10, dims: int = 768, id_col: str = "id", vec_col: str = "embedding", exact: bool = False, cell: int = CELL, file_rows: int = FILE_ROWS) -> DataFrame:
     """(id, other, similarity): the k most similar other ids of each id with a usable vector.
 
     A vector is usable if it holds ``dims`` finite numbers that are not all zero; others, null
     vectors and null ids have no row.  An id delivered twice counts once (its rows are taken to
-    be equal).  Equal similarities go by the smaller id.  Other columns are not read; an empty
+    be equal).  Equal similarities go by the smaller id; those that are 1 at nine decimals
+    are found in float64, one vector standing for all of one hash.  Other columns are not read; an empty
     table gives no rows.  The result is approximate: see the README for the measured recall.
     """
     spark = df.sparkSession
@@ -286,17 +428,8 @@ def nearest(df: DataFrame, k: int = 10, dims: int = 768, id_col: str = "id", vec
     postings = source.mapInArrow(_postings(shared, dims, k, exact), schema)
     near = postings.repartition("file").sortWithinPartitions("file").mapInArrow(_search(dims, k, exact), "q bigint, c bigint, s double")
 
-    # ids beyond the k + 1 smallest of their class: the k smallest are their nearest
-    hashes = source.mapInArrow(_hashes(dims), "id bigint, h bigint")
-    large = cut(hashes.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).select("h"))
-    if not large.isEmpty():
-        members = hashes.join(large, "h", "left_semi").distinct()
-        first = members.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("id"))).where(F.col("r") <= k + 1)
-        near = near.unionByName(
-            members.join(first.select("h", F.col("id").alias("c"), "r"), "h")
-            .where("id <> c")
-            .select(F.col("id").alias("q"), "c", F.lit(1.0).alias("s"))
-        )
+    equal = _equal_ids(source, dims, k)
+    near = near if equal is None else near.unionByName(equal)
     best = (
         near.repartition("q")
         .groupBy("q", "c")

@@ -1,6 +1,7 @@
 import numpy as np
+import pyarrow as pa
 
-from lodestone.llm.neighbours import nearest, neighbour_pairs
+from lodestone.llm.neighbours import cells, nearest, neighbour_pairs, unit_rows, vector_hash
 
 DIMS = 24
 SCHEMA = "id bigint, embedding array<float>, other string"
@@ -56,3 +57,47 @@ def test_few_and_no_rows(spark):
     two = spark.createDataFrame([(1, [1.0] * DIMS, "x"), (2, [1.0, -1.0] * (DIMS // 2), "x")], SCHEMA)
     assert nearest(one, 3, DIMS).count() == nearest(one.limit(0), 3, DIMS).count() == 0
     assert sorted((r.id, r.other) for r in nearest(two, 3, DIMS).collect()) == [(1, 2), (2, 1)]
+
+
+def test_one_direction_at_any_length_is_one_class(spark):
+    rng = np.random.default_rng(5)
+    dims = 256
+    v = rng.normal(size=dims)
+    same = (v * rng.uniform(0.4, 4, (1_500, 1))).astype(np.float32)
+    other = rng.normal(size=(200, dims)).astype(np.float32)
+    x = np.concatenate([same, other])
+    _, u = unit_rows(pa.array(x.tolist(), pa.list_(pa.float32())), dims)
+    assert len(np.unique(vector_hash(u[:1_500]))) > 1  # the hash parts them
+    ids = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), w.tolist(), "x") for i, w in zip(ids, x)], SCHEMA).repartition(3)
+    got = {}
+    for r in nearest(df, 10, dims).collect():
+        got.setdefault(r.id, []).append((r.other, r.similarity))
+    group = sorted(int(i) for i in ids[:1_500])
+    for i in group:
+        assert sorted(got[i]) == [(j, 1.0) for j in group[:11] if j != i][:10]
+
+
+def test_equality_is_not_carried_on_along_a_chain(spark):
+    dims, step = 24, 2e-5  # neighbours of the chain are equal at nine decimals, others are not
+    angle = np.arange(40) * step
+    x = np.zeros((40, dims))
+    x[:, 0], x[:, 1:] = np.cos(angle), np.sin(angle)[:, None] / np.sqrt(dims - 1)
+    x = x.astype(np.float32)
+    x64 = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    want = {(i, j) for i, j in zip(*np.nonzero(np.round(x64 @ x64.T, 9) >= 1)) if i != j}
+    assert 60 < len(want) < 120
+    df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(x)], SCHEMA)
+    assert {(r.id, r.other) for r in nearest(df, 10, dims).where("similarity = 1").collect()} == want
+
+
+def test_equal_rows_share_a_cell():
+    rng = np.random.default_rng(6)
+    for dims in (24, 768):
+        a = rng.normal(size=(4_000, dims))
+        a /= np.linalg.norm(a, axis=1)[:, None]
+        d = rng.normal(size=a.shape)
+        b = a + d / np.linalg.norm(d, axis=1)[:, None] * 3.1e-5
+        (ra, ca), (rb, cb) = cells(a.astype(np.float32)), cells(b.astype(np.float32))
+        assert {r for r, _ in set(zip(ra, ca)) & set(zip(rb, cb))} == set(range(4_000))
+        assert len(ra) < 3 * 4_000

@@ -8,10 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as fx
 from lodestone.operators import chunks
 from lodestone.sources import notes as ns
 
 MEMORY_COLUMNS = ("id", "content", "category", "layer", "source", "score", "created_at", "updated_at", "superseded_by")
+LABELS = ("category", "layer", "source", "score")
 GENERAL, EPISODIC, DIRECTORY_SCORE = "general", "episodic", 0.5
 
 
@@ -21,19 +23,35 @@ def memory_rows(contents: DataFrame, at: Column, cap: bool = True) -> DataFrame:
     The id is a hash of source and place, so indexing again gives the same ids and needs no
     global numbering; blank chunks and null contents give no row.
     """
-    cut = chunks.chunk_rows(
-        contents.withColumn("k", F.struct("category", "layer", "source", "score")), "k", "content", cap
-    )
-    return cut.select(
-        F.xxhash64("k.source", "chunk_no").alias("id"), F.col("chunk").alias("content"), "k.category", "k.layer", "k.source", "k.score",
+    cut = chunks.chunk_rows(contents.withColumn("k", F.struct(*LABELS)), "k", "content", cap)
+    return _placed(cut.select("k.*", "chunk_no", F.col("chunk").alias("content")), "chunk_no", at)
+
+
+def log_rows(contents: DataFrame, at: Column) -> DataFrame:
+    """Memories of (content, category, layer, source, score), content being a log of JSON lines:
+    ``name (type)`` of each line that holds an object, neither chunked nor capped.
+
+    Blank and broken lines and null contents give no row; equal lines give one each, and the id is
+    a hash of source and line.
+    """
+    lines = contents.select(*LABELS, F.posexplode(F.split("content", "\r\n|\r|\n")).alias("line_no", "value"))
+    objects = lines.where(fx.strip(F.col("value")).startswith("{"))
+    return _placed(ns.jsonl_contents(objects, "value", (*LABELS, "line_no")), "line_no", at)
+
+
+def _placed(rows: DataFrame, place: str, at: Column) -> DataFrame:
+    return rows.select(
+        F.xxhash64("source", place).alias("id"), "content", *LABELS,
         at.alias("created_at"), at.alias("updated_at"), F.lit(None).cast("bigint").alias("superseded_by"),
     )
 
 
 def index_workspace(files: DataFrame, at: Column) -> DataFrame:
-    """Memories of the files (file_path relative to the workspace, content) that have a class."""
-    known = ns.classify_files(files)
-    return memory_rows(known.select("content", "category", "layer", "source", "score"), at)
+    """Memories of the files (file_path relative to the workspace, content) that have a class: of
+    texts by chunk, of the ontology log by line."""
+    known = ns.classify_files(files).select("content", *LABELS)
+    log = F.col("source") == ns.LOG_FILE
+    return memory_rows(known.where(~log), at).unionByName(log_rows(known.where(log), at))
 
 
 def index_directory(files: DataFrame, at: Column, category: str = GENERAL, layer: str = EPISODIC, score: float = DIRECTORY_SCORE) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as fx
 
-MEMORY_FILE = "MEMORY.md"
+MEMORY_FILE, LOG_FILE = "MEMORY.md", "ontology/graph.jsonl"
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*.md", recursive: bool = False) -> DataFrame:
@@ -74,17 +74,18 @@ def classify_files(files: DataFrame) -> DataFrame:
         .when(p.rlike(r"\Amemory/[^/]+\.md\z"), rule(fx.category_of_file(name), "semantic", name, 0.7))
         .when(p == "MEMORY.md", rule(F.lit("long-term-memory"), "procedural", name, 0.9))
         .when(p == "TOOLS.md", rule(F.lit("config"), "procedural", name, 0.7))
-        .when(p.rlike(r"\A(?:memory/)?ontology/graph\.jsonl\z"), rule(F.lit("ontology"), "semantic", F.lit("ontology/graph.jsonl"), 0.6))
+        .when(p.rlike(r"\A(?:memory/)?ontology/graph\.jsonl\z"), rule(F.lit("ontology"), "semantic", F.lit(LOG_FILE), 0.6))
     )
     kept = [c for c in files.columns if c not in ("file_name", "category", "layer", "source", "score")]
     return files.withColumn("k", klass).where("k is not null").select(*kept, name.alias("file_name"), "k.*")
 
 
-def jsonl_contents(lines: DataFrame, column: str = "value") -> DataFrame:
-    """``name (type)`` of each line of JSON, missing ones empty; broken and blank lines are left out."""
+def jsonl_contents(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``name (type)`` of each line of JSON, missing ones empty; broken and blank lines are left out.
+    The columns of ``keep`` stay beside it."""
     v = F.try_parse_json(F.col(column))
-    return lines.where(fx.strip(F.col(column)) != "").select(v.alias("v")).where("v is not null").select(
-        F.format_string(
+    return lines.where(fx.strip(F.col(column)) != "").select(*keep, v.alias("v")).where("v is not null").select(
+        *keep, F.format_string(
             "%s (%s)",
             F.coalesce(F.try_variant_get("v", "$.name", "string"), F.lit("")),
             F.coalesce(F.try_variant_get("v", "$.type", "string"), F.lit("")),

@@ -301,6 +301,20 @@ def test_indexing(spark):
     assert {r.id: r.embedding for r in indexing.embed(some, client).collect()} == {1: [4.0], 2: None}
 
 
+def test_ontology_log_is_indexed_by_line(spark):
+    line = lambda i: f'{{"op": "create", "name": "n{i}", "type": "T", "x": "{"y" * 60}"}}'
+    log = "\r\n".join([*map(line, range(300)), "", " ", "{cut", "[1]", line(0), '{"type": "U"}'])
+    assert len(chunks.chunk_text(log.replace("\r\n", "\n"))) > 8
+    rows = [("memory/ontology/graph.jsonl", log), ("memory/ontology.md", line(1)), ("MEMORY.md", "text")]
+    got = indexing.index_workspace(spark.createDataFrame(rows, "file_path string, content string"), F.current_timestamp()).collect()
+    lines = [r for r in got if r.source == "ontology/graph.jsonl"]
+    assert sorted(r.content for r in lines) == sorted([*(f"n{i} (T)" for i in range(300)), "n0 (T)", " (U)"])
+    assert len({r.id for r in lines}) == 302 and {(r.category, r.layer, r.score) for r in lines} == {("ontology", "semantic", 0.6)}
+    assert sorted((r.source, r.category, r.content) for r in got if r not in lines) == [("MEMORY.md", "long-term-memory", "text"), ("ontology.md", "ontology", line(1))]
+    none = spark.createDataFrame([("ontology/graph.jsonl", None)], "file_path string, content string")
+    assert indexing.index_workspace(none, F.current_timestamp()).count() == 0
+
+
 def test_json_lines(spark):
     df = spark.createDataFrame([('{"name": "A", "type": "T"}',), ('{"x": 1}',), ("{cut",), (" ",), (None,)], "value string")
     assert sorted(r.content for r in ns.jsonl_contents(df).collect()) == [" ()", "A (T)"]

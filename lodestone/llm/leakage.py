@@ -6,7 +6,7 @@ Chakraborty, Goldenberg and Koucky: at each step the word under the cursor is pu
 random bit of that word and step decides whether the cursor moves on.  Windows within a few word
 edits of each other get embeddings within a small Hamming distance, so sampling a few output
 positions is a locality-sensitive hash for edit distance.  The number of repetitions follows
-from the recall asked for; equal windows have equal embeddings, so for ``edits=0`` one repetition
+from the recall asked for, by simulation; equal windows have equal embeddings, so for ``edits=0`` one repetition
 finds them all.  Every hit is verified on the words themselves.
 
 The items are the small side: they are collected in blocks of at most MAX_WINDOWS windows, each
@@ -15,6 +15,7 @@ broadcast and run against all documents, which are neither shuffled nor collecte
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -29,19 +30,59 @@ from lodestone.session import spread
 #: Windows of items in one broadcast: about 100 MB with their words at ten words each.
 MAX_WINDOWS = 1_000_000
 SAMPLES = 6
+#: More repetitions than these are refused.
+MAX_REPETITIONS = 2_000
 PAD = np.uint64(0x7B1C5D3A9E2F4860)
 
 
-def repetitions(window: int, edits: int, recall: float) -> int:
+def edited_windows(window: int, edits: int, most: int = 100) -> list[np.ndarray]:
+    """Ways in which a window comes out of another one by ``edits`` edits: for each place the word
+    of the other that stands there, -1 for a new one.  All of them, or ``most`` at random with
+    those at the beginning, which part the walks for longest."""
+    rng = np.random.default_rng(5)
+    ways = {}
+    for pairs in range(edits // 2 + 1):  # a word put in and one left out keep the length
+        new = edits - 2 * pairs
+        for n in range(20 * most if edits > 1 else window):
+            at = [n] if edits == 1 else list(range(min(edits, window))) if n == 0 else rng.permutation(window).tolist()
+            way = list(range(window))
+            for p in at[:new]:
+                way[p] = -1
+            for p, q in zip(at[new::2], at[new + 1 :: 2][:pairs]):
+                way.insert(p, -1)
+                del way[q + (q >= p)]
+            ways[tuple(way)] = None
+            if len(ways) >= most * (pairs + 1):
+                break
+    return [np.array(w) for w in ways]
+
+
+@functools.cache
+def repetitions(window: int, edits: int, recall: float, trials: int = 20_000) -> int:
     """Repetitions of the hash that find a pair at ``edits`` edits with the given probability.
 
-    An edit makes the two walks differ for a few steps until they meet again; the expected
-    number of differing outputs is taken as 2 * edits * (edits + 1) out of 3 * window.
+    The walks of the very seeds are simulated on windows of random words: the share of equal keys
+    under each seed gives the probability that all seeds miss, which must be 1 - recall at most,
+    three standard errors included, for each of the ways of edited_windows().
     """
     if edits == 0:
         return 1
-    same = max(0.05, 1 - 2 * edits * (edits + 1) / (3 * window)) ** SAMPLES
-    return math.ceil(math.log(1 - recall) / math.log(1 - same))
+    rng = np.random.default_rng(3)
+    ways = edited_windows(window, edits)
+    each = max(200, trials // len(ways))
+    a = rng.integers(0, 2**63, (len(ways) * each, window)).astype(np.uint64)
+    b = rng.integers(0, 2**63, a.shape).astype(np.uint64)
+    way = np.repeat(np.stack(ways), each, axis=0)
+    b = np.where(way < 0, b, np.take_along_axis(a, np.maximum(way, 0), 1))
+    start = np.arange(len(a)) * window
+    missed, variance = np.zeros(len(ways)), np.zeros(len(ways))
+    for n in range(1, MAX_REPETITIONS + 1):
+        same = walk_keys(a.ravel(), start, window, n) == walk_keys(b.ravel(), start, window, n)
+        p = np.minimum(same.reshape(len(ways), each).mean(1), 1 - 1 / each)
+        missed, variance = missed + np.log1p(-p), variance + p / (1 - p) / each
+        if (missed + 3 * np.sqrt(variance) <= math.log(1 - recall)).all():
+            return n
+    raise ValueError(f"{edits} edits in {window} words need more than {MAX_REPETITIONS} repetitions for a recall of {recall}")
 
 
 def walk_keys(words: np.ndarray, start: np.ndarray, window: int, seed: int) -> np.ndarray:
@@ -151,7 +192,7 @@ def leaks(
     """Distinct (doc_id, item_id): the document holds ``window`` consecutive words of the item.
 
     With ``edits`` above 0 the window may differ by so many word edits; each such pair is found
-    with probability ``recall`` at least.  Null, empty and short texts hold no window; null ids
+    with probability ``recall`` at least, as simulated (see repetitions()).  Null, empty and short texts hold no window; null ids
     are left out; repeated rows count once; other columns are not read; empty tables give no rows.
     """
     spark = docs.sparkSession

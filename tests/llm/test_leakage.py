@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from lodestone.llm import leakage
 from lodestone.llm.leakage import leaks
 
@@ -70,3 +72,23 @@ def test_edited_windows_reach_the_recall(spark):
     got = {tuple(r) for r in leaks(d, i, edits=1, recall=0.95).collect()}
     assert len(got & {(k, k) for k in range(60)}) >= 57
     assert all(a == b for a, b in got)  # verified on the words
+
+
+def test_repetitions_reach_the_recall_at_each_place():
+    rng = np.random.default_rng(9)
+    n, window = 4_000, 10
+    start = np.arange(n) * window
+    for place in range(window):
+        a = rng.integers(0, 2**63, (n, window)).astype(np.uint64)
+        b = a.copy()
+        b[:, place] = rng.integers(0, 2**63, n).astype(np.uint64)
+        found = np.zeros(n, bool)
+        for seed in range(1, 1 + leakage.repetitions(window, 1, 0.99)):
+            found |= leakage.walk_keys(a.ravel(), start, window, seed) == leakage.walk_keys(b.ravel(), start, window, seed)
+        assert found.mean() >= 0.987  # 0.99 less two standard errors
+
+
+def test_edits_are_within_their_number():
+    for edits in (1, 2, 3):
+        for way in leakage.edited_windows(10, edits):
+            assert leakage.within_edits(np.arange(10)[None], way[None], edits)[0]

@@ -97,6 +97,9 @@ def mixed_chars(codes: np.ndarray, lower: bool = False) -> np.ndarray:
 
 
 _BASE = np.uint64(0x5851F42D4C957F2D)
+#: Second modulus of span_hash, a Mersenne prime, and its base.
+_M31, _BASE31 = np.uint64((1 << 31) - 1), 0x2F0B4A37
+_31 = np.uint64(31)
 
 
 @lru_cache(maxsize=4)
@@ -107,25 +110,48 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
-def prefix_of_mixed(mixed: np.ndarray) -> np.ndarray:
-    """Prefix sums for span_hash (n + 1) over values that are mixed already."""
-    n = len(mixed)
-    up, _ = _powers(1 << max(10, (n + 1).bit_length()))
-    out = np.zeros(n + 1, np.uint64)
-    np.cumsum(mixed * up[:n], out=out[1:])
-    return out
-
-
-def prefix_hash(codes: np.ndarray, lower: bool = False) -> np.ndarray:
-    """Prefix sums for span_hash over code points."""
-    return prefix_of_mixed(mixed_chars(codes, lower))
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x below 2^63 modulo 2^31 - 1."""
+    x = (x & _M31) + (x >> _31)
+    x = (x & _M31) + (x >> _31)
+    return np.where(x >= _M31, x - _M31, x)
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[start:end] that doesn't depend on where the span stands."""
-    size = 1 << max(10, len(prefix).bit_length())
-    _, down = _powers(size)
-    return mix((prefix[end] - prefix[start]) * down[start])
+@lru_cache(maxsize=4)
+def _powers31(n: int) -> tuple[np.ndarray, np.ndarray]:
+    m = int(_M31)
+    out = []
+    for base in (_BASE31, pow(_BASE31, -1, m)):
+        p = np.ones(n, np.uint64)
+        k = 1
+        while k < n:
+            p[k : 2 * k] = _folded(p[: min(k, n - k)] * np.uint64(pow(base, k, m)))
+            k *= 2
+        out.append(p)
+    return out[0], out[1]
+
+
+def prefix_hash(codes: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums for span_hash over code points (n + 1), modulo 2^64 and for modulo 2^31 - 1."""
+    n = len(codes)
+    size = 1 << max(10, (n + 1).bit_length())
+    mixed = mixed_chars(codes, lower)
+    out, low = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+    np.cumsum(mixed * _powers(size)[0][:n], out=out[1:])
+    x = (mixed >> np.uint64(33)) * _powers31(size)[0][:n]
+    np.cumsum((x & _M31) + (x >> _31), out=low[1:])
+    return out, low
+
+
+def span_hash(prefix: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of values[start:end] that doesn't depend on where the span stands.
+
+    Made of two polynomials: modulo 2^64 alone, built texts (Thue and Morse's) would collide.
+    """
+    p, low = prefix
+    size = 1 << max(10, len(p).bit_length())
+    small = _folded(_folded(low[end] - low[start]) * _powers31(size)[1][start])
+    return mix((p[end] - p[start]) * _powers(size)[1][start] ^ mix(small))
 
 
 def words_of(codes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

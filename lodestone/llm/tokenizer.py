@@ -207,25 +207,40 @@ def piece_starts(codes: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 
 class PieceTable:
-    """Ids of the pieces seen so far by the hash of their code points."""
+    """Ids of the pieces seen so far, by their own code points."""
 
     def __init__(self, bpe: BacktrackingBpe):
         self.bpe = bpe
-        self.kept: dict[int, np.ndarray] = {}
+        self.kept: dict[bytes, np.ndarray] = {}
 
-    def ids(self, hashes: np.ndarray, first: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> list[np.ndarray]:
-        if len(self.kept) + len(hashes) > KEPT_PIECES:
+    def ids(self, first: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> list[np.ndarray]:
+        if len(self.kept) + len(first) > KEPT_PIECES:
             self.kept.clear()
-        out = []
-        for h, a, z in zip(hashes.tolist(), first.tolist(), ends.tolist()):
-            got = self.kept.get(h)
+        raw, out = codes.tobytes(), []
+        for a, z in zip((4 * first).tolist(), (4 * ends).tolist()):
+            piece = raw[a:z]
+            got = self.kept.get(piece)
             if got is None:
-                piece = codes[a:z].tobytes().decode("utf-32-le").encode("utf-8")
-                got = self.kept[h] = np.array(self.bpe.encode_piece(piece), np.int32)
+                got = self.kept[piece] = np.array(self.bpe.encode_piece(piece.decode("utf-32-le").encode("utf-8")), np.int32)
             out.append(got)
         return out
 
 
+def distinct_pieces(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of pieces that differ, and for each piece the place of its equal among them.
+
+    Pieces, which cover all of ``codes``, meet by their hash and are compared by their characters
+    with the first of the hash; one that differs from it stands for itself.
+    """
+    _, first, back = np.unique(tc.span_hash(tc.prefix_hash(codes), start, end), return_index=True, return_inverse=True)
+    rep, length = first[back], end - start
+    at = np.arange(len(codes)) + np.repeat(start[rep] - start, length)
+    other = codes[np.minimum(at, len(codes) - 1)] != codes
+    other = np.flatnonzero(np.logical_or.reduceat(other, start) | (length != length[rep]))
+    back[other] = len(first) + np.arange(len(other))
+    return np.concatenate([first, other]), back
+
+
 def encode_batch(texts: pa.Array, table: PieceTable) -> pa.Array:
     """Ids of each text as a list array; a null or empty text gives an empty list."""
     codes, begins = tc.codes_of(texts)
@@ -237,9 +252,8 @@ def encode_batch(texts: pa.Array, table: PieceTable) -> pa.Array:
             continue
         start = piece_starts(c, b)
         end = np.append(start[1:], len(c))
-        h = tc.span_hash(tc.prefix_hash(c), start, end)
-        unique, first, back = np.unique(h, return_index=True, return_inverse=True)
-        ids = table.ids(unique, start[first], end[first], c)
+        first, back = distinct_pieces(c, start, end)
+        ids = table.ids(start[first], end[first], c)
         flat = np.concatenate(ids)
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         begin = np.cumsum(size) - size

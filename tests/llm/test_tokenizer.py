@@ -4,6 +4,7 @@ import random
 import pyarrow as pa
 import pytest
 
+from lodestone.llm import textcodes as tc
 from lodestone.llm.queries import TOKENIZER
 from lodestone.llm.tokenizer import BacktrackingBpe, PieceTable, decode, encode, encode_batch
 
@@ -41,6 +42,27 @@ def test_a_full_table_of_pieces_changes_nothing(bpe, monkeypatch):
     assert encode_batch(pa.array(["one two three"] * 3), PieceTable(bpe)).to_pylist() == encode_batch(pa.array(["one two three"] * 3), PieceTable(bpe)).to_pylist()
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_pieces_whose_polynomial_hashes_meet(bpe, exact, monkeypatch):
+    """Hashes modulo 2^64 of these two differ in nothing; pieces are told apart even so."""
+    one = thue_morse(1_024)
+    texts = [one, one.translate(str.maketrans("ab", "ba")), one]
+    assert encode_batch(pa.array(texts), PieceTable(bpe)).to_pylist() == [exact.encode_ordinary(t) for t in texts]
+    texts = ["some words here", "and others 12", "some words here"] + texts
+    monkeypatch.setattr("lodestone.llm.textcodes.span_hash", lambda prefix, start, end: (end - start).astype("uint64") * 0)
+    assert encode_batch(pa.array(texts), PieceTable(bpe)).to_pylist() == [exact.encode_ordinary(t) for t in texts]
+
+
+def test_span_hashes_tell_built_texts_apart():
+    one = thue_morse(4_096)
+    codes, begins = tc.codes_of(pa.array([one, one.translate(str.maketrans("ab", "ba")), one]))
+    h = tc.span_hash(tc.prefix_hash(codes), begins[:-1], begins[1:])
+    assert h[0] == h[2] != h[1]
+
+
 def test_frames(spark, bpe):
     rows = [(1, "plain text", "x"), (2, None, "x"), (3, "", None), (4, " \n", "x"), (4, " \n", "x"), (None, "<|endoftext|>", "x")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, ids string")

@@ -1,7 +1,7 @@
 import numpy as np
 import pyarrow as pa
 
-from lodestone.llm.neighbours import cells, nearest, neighbour_pairs, unit_rows, vector_hash
+from lodestone.llm.neighbours import EqualRows, Pivots, cells, nearest, neighbour_pairs, unit_rows, vector_hash
 
 DIMS = 24
 SCHEMA = "id bigint, embedding array<float>, other string"
@@ -28,7 +28,7 @@ def test_recall_against_brute_force(spark):
     ids = np.arange(len(x)) * 2
     df = spark.createDataFrame([(int(i), v.tolist(), "x") for i, v in zip(ids, x)], SCHEMA)
     want = truth(ids, x, 10)
-    for options in ({}, {"file_rows": 150}, {"exact": True}):  # the second cuts files
+    for options in ({}, {"file_rows": 150}, {"task_rows": 150}, {"exact": True}):  # the second divides files, the third cuts them
         got = {}
         for r in nearest(df, 10, DIMS, **options).collect():
             got.setdefault(r.id, []).append(r.other)
@@ -36,6 +36,49 @@ def test_recall_against_brute_force(spark):
         assert sum(len(set(got[i]) & set(want[i])) for i in got) >= 0.9 * 10 * len(ids)
 
 
+def test_recall_of_divided_files_in_many_dimensions(spark):
+    """Few pivots, as a very large collection has for its size, files divided and cut over tasks."""
+    rng = np.random.default_rng(8)
+    n, inner, dims = 3_000, 10, 768
+    centres = rng.normal(size=(20, inner))
+    x = centres[rng.choice(20, n, p=[0.35] + [0.65 / 19] * 19)] + 0.4 * rng.normal(size=(n, inner))
+    x = np.tanh(x @ rng.normal(size=(inner, dims)) / 3).astype(np.float32)
+    ids = np.arange(n)
+    want = truth(ids, x, 10)
+    df = spark.createDataFrame([(int(i), v.tolist(), "x") for i, v in zip(ids, x)], SCHEMA).repartition(4)
+    for options in ({"max_pivots": 64}, {"max_pivots": 64, "file_rows": 100}, {"max_pivots": 64, "file_rows": 100, "task_rows": 150}):
+        got = {}
+        for r in nearest(df, 10, **options).select("id", "other").collect():
+            got.setdefault(r.id, set()).add(r.other)
+        assert sum(len(got[i] & set(want[i])) for i in got) >= 0.95 * 10 * n, options
+
+
+def test_pivots_in_groups_are_nearly_the_nearest():
+    x = clustered(4_000, 9)
+    _, x = unit_rows(pa.array(x.tolist(), pa.list_(pa.float32())), DIMS)
+    index = Pivots(x[:900])
+    got, sim = index.orders(x, 8)
+    full = np.argsort(-(x @ x[:900].T), axis=1, kind="stable")[:, :8]
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(got, full)]) >= 0.95 * 8
+    assert np.allclose(sim, np.take_along_axis(x @ x[:900].T, got, 1), atol=1e-5) and (np.diff(sim, axis=1) <= 0).all()
+    few, _ = Pivots(x[:3]).orders(x, 8)
+    assert few.shape == (4_000, 3) and (np.sort(few, axis=1) == np.arange(3)).all()
+
+
+def test_equal_rows_keep_few_of_a_large_class():
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(3, 64))
+    x = (v[rng.choice(3, 5_000, p=[0.9, 0.09, 0.01])] * rng.uniform(0.3, 5, (5_000, 1))).astype(np.float32)
+    rows, got = EqualRows(4), {}
+    for a in range(0, 5_000, 700):
+        for q, c in zip(*rows.add(np.arange(a, min(a + 700, 5_000)), x[a : a + 700])):
+            got.setdefault(q, []).append(c)
+    y = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    same = np.round(y @ y.T, 9) >= 1
+    assert all(sorted(got[i]) == np.flatnonzero(same[i])[:4].tolist() for i in range(5_000))
+    assert len(rows.ids) <= 3 * 4
+
+
 def test_unusable_repeated_and_equal_vectors(spark):
     x = clustered(60, 2)
     same = x[0]

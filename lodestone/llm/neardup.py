@@ -12,8 +12,11 @@ runs of FAN neighbours form a node with the bits they all share (mask and patter
 these the next level.  A search adds up the differences to a node's shared bits and drops the
 whole group when they exceed the limit.  What is left is verified on the exact sets.
 
-Records with equal sets are one class and enter once; upper nodes too large for one task are cut
-into blocks, and each pair of blocks is a task of its own.
+Records with equal sets are one class and enter once.  All nodes of a task are one forest, searched
+level by level at once, whatever their sizes.  Upper nodes too large for one task are cut into
+blocks, and each pair of blocks is a task of its own; those of very many blocks are refined: a
+further min-hash value joins the pattern, in each of REFINED choices of which, so that a node costs
+a constant number of rows per member and a pair still meets with probability 1 - (1 - J)^REFINED.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ BITS = 128
 FAN = 16
 #: Members of an upper node that one task searches; larger ones are cut into blocks of this size.
 NODE_ROWS = 8_192
+#: Blocks of an upper node from which it is refined, choices of the value that joins, and how often.
+MOST_BLOCKS, REFINED, DEPTH = 8, 8, 3
 #: Standard deviations of the Hamming distance allowed above its mean at the threshold.
 SLACK = 2.7
 
@@ -84,14 +89,16 @@ def _fingerprints(size: int, min_words: int):
                 bit = (tc.mix(mins) & np.uint64(1)).astype(np.uint8)
                 packed = np.packbits(bit, axis=0).T.copy().view(np.uint64)
                 keys = np.stack([tc.mix(tc.mix(mins[2 * j] + np.uint64(j)) + mins[2 * j + 1]) for j in range(NODES)], 1)
+                more = (mins[2 * NODES : 2 * NODES + REFINED * DEPTH] >> np.uint64(32)).astype(np.uint32).T
                 whole = tc.mix(np.add.reduceat(tc.mix(h), head) ^ np.bitwise_xor.reduceat(tc.mix(h + np.uint64(9)), head))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[a + t[head]]), pa.array(whole.view(np.int64)),
                         pa.array(packed[:, 0].copy().view(np.int64)), pa.array(packed[:, 1].copy().view(np.int64)),
                         pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel().view(np.int64)), NODES).cast(pa.list_(pa.int64())),
+                        pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(more).ravel().view(np.int32)), REFINED * DEPTH).cast(pa.list_(pa.int32())),
                     ],
-                    names=["id", "sh", "hi", "lo", "keys"],
+                    names=["id", "sh", "hi", "lo", "keys", "more"],
                 )
 
     return run
@@ -106,41 +113,63 @@ def gray_rank(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hi, np.where(parity == 1, ~lo, lo)
 
 
-def _level(value: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes over runs of FAN: the bits that all members know and share."""
-    head = np.arange(0, len(value), FAN)
-    first = value[head]
-    spread = np.repeat(first, FAN, axis=0)[: len(value)]
-    shared = np.bitwise_and.reduceat(mask & ~(value ^ spread), head, axis=0)
-    return first & shared, shared
-
-
-def search(fp: np.ndarray, limit: int, block: int = 1_024) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i < j) of rows of ``fp`` (n, 2), sorted by Gray rank, that differ in ``limit`` bits or fewer."""
-    levels = [(fp, np.full_like(fp, ~np.uint64(0)))]
-    while len(levels[-1][0]) > FAN:
-        levels.append(_level(*levels[-1]))
-    left, right = [], []
-    for a in range(0, len(fp), block):
-        q = np.arange(a, min(len(fp), a + block))
-        top = len(levels[-1][0])
-        qi, node = np.repeat(q, top), np.tile(np.arange(top), len(q))
-        for depth in range(len(levels) - 1, -1, -1):
-            value, mask = levels[depth]
-            if depth < len(levels) - 1:  # to the children of what is left
-                node = (node[:, None] * FAN + np.arange(FAN)).ravel()
-                qi = np.repeat(qi, FAN)
-                ok = node < len(value)
-                qi, node = qi[ok], node[ok]
-            ok = (node + 1) * FAN**depth > qi + 1  # only partners behind the query
-            qi, node = qi[ok], node[ok]
-            apart = np.bitwise_count((fp[qi] ^ value[node]) & mask[node]).sum(1)
-            near = apart <= limit
-            qi, node = qi[near], node[near]
-        keep = node > qi
-        left.append(qi[keep])
-        right.append(node[keep])
-    return np.concatenate(left) if left else np.zeros(0, np.int64), np.concatenate(right) if right else np.zeros(0, np.int64)
+class Forest:
+    """Trees over rows sorted by (key, Gray rank), one for each key.
+
+    A node stands for FAN neighbours of the level below it, within its key, and has the bits that
+    all of them know and share.  Levels go up to one node per key.
+    """
+
+    def __init__(self, fp: np.ndarray, key: np.ndarray):
+        self.fp = fp
+        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        self.size = np.diff(np.r_[head, len(key)])
+        self.tree = np.repeat(np.arange(len(head)), self.size)  # of each row
+        # per level: values, masks, first node and number of nodes of each tree
+        self.levels = [(fp, np.full_like(fp, ~np.uint64(0)), head, self.size)]
+        while self.levels[-1][3].max(initial=1) > 1:
+            self.levels.append(self._above(*self.levels[-1]))
+
+    @staticmethod
+    def _above(value, mask, first, count):
+        place = np.arange(len(value)) - np.repeat(first, count)
+        head = np.flatnonzero(place % FAN == 0)
+        begin = value[head]
+        apart = value ^ np.repeat(begin, np.diff(np.r_[head, len(value)]), axis=0)
+        shared = np.bitwise_and.reduceat(mask & ~apart, head, axis=0)
+        count = -(-count // FAN)
+        return begin & shared, shared, np.cumsum(count) - count, count
+
+    def near(self, limit: int, work: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (i < j) of rows of one key that differ in ``limit`` bits or fewer."""
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        load = np.cumsum(self.size[self.tree]) if len(self.fp) else np.zeros(0, np.int64)
+        blocks = np.searchsorted(load, np.arange(work, load[-1] + work, work)) if len(load) else []
+        begin = 0
+        for end in [min(len(self.fp), int(x) + 1) for x in blocks]:
+            if end <= begin:
+                continue
+            q = np.arange(begin, end)
+            begin = end
+            node = self.levels[-1][2][self.tree[q]]
+            for depth in range(len(self.levels) - 1, -1, -1):
+                value, mask, first, count = self.levels[depth]
+                tree = self.tree[q]
+                place = node - first[tree]
+                # only partners behind the query
+                behind = self.levels[0][2][tree] + np.minimum((place + 1) * FAN**depth, self.size[tree]) - 1 > q
+                apart = np.bitwise_count((self.fp[q] ^ value[node]) & mask[node]).sum(1)
+                kept = behind & (apart <= limit)
+                q, node, tree, place = q[kept], node[kept], tree[kept], place[kept]
+                if depth:
+                    below, n = self.levels[depth - 1][2], self.levels[depth - 1][3]
+                    children = np.minimum(FAN, n[tree] - place * FAN)
+                    nth = np.arange(children.sum()) - np.repeat(np.cumsum(children) - children, children)
+                    q, node = np.repeat(q, children), np.repeat(below[tree] + place * FAN, children) + nth
+            kept = node > q
+            left.append(q[kept])
+            right.append(node[kept])
+        return np.concatenate(left), np.concatenate(right)
 
 
 def _search_nodes(limit: int, two_blocks: bool):
@@ -151,22 +180,7 @@ def _search_nodes(limit: int, two_blocks: bool):
         g1, g2 = gray_rank(hi, lo)
         order = np.lexsort((g2, g1, key))
         key, ids, side = key[order], ids[order], side[order]
-        fp = np.stack([hi[order], lo[order]], 1)
-        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[head, len(key)])
-        small = size <= 2 * FAN
-        of = np.repeat(small, size)
-        parts = []
-        for d in range(1, int(size[small].max(initial=1))):  # small nodes, all at once
-            i = np.flatnonzero((key[d:] == key[:-d]) & of[d:])
-            near = np.bitwise_count(fp[i] ^ fp[i + d]).sum(1) <= limit
-            parts.append((i[near], i[near] + d))
-        for h, n in zip(head[~small], size[~small]):
-            i, j = search(fp[h : h + n], limit)
-            parts.append((h + i, h + j))
-        if not parts:
-            return None
-        i, j = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        i, j = Forest(np.stack([hi[order], lo[order]], 1), key).near(limit)
         if two_blocks:
             ok = (side[i] != side[j]) | (side[i] < 0)
             i, j = i[ok], j[ok]
@@ -200,31 +214,40 @@ def _search_nodes(limit: int, two_blocks: bool):
 
 def candidates(classes: DataFrame, limit: int, node_rows: int = NODE_ROWS) -> DataFrame:
     """Distinct pairs (a < b) of class ids whose fingerprints are near and that share an upper node."""
-    rows = classes.select("id", "hi", "lo", F.explode("keys").alias("key"))
-    # few nodes are large, mostly none: their keys are counted before anything moves
-    hot = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > node_rows))
-    some = not hot.isEmpty()
 
     def searched(rows: DataFrame, two_blocks: bool) -> DataFrame:
         return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_search_nodes(limit, two_blocks), "a bigint, b bigint")
 
-    plain = rows.join(hot, "key", "left_anti") if some else rows
-    plain = searched(plain.select("key", "id", "hi", "lo", F.lit(-1).alias("side")), False)
-    if not some:
-        return plain.distinct()
-    large = (
-        rows.join(hot, "key")
-        .withColumn("blocks", F.ceil(F.col("n") / node_rows).cast("int"))
-        .withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"),
-            "id", "hi", "lo",
-            F.when(F.col("mine") == F.col("other"), -1).otherwise((F.col("mine") > F.col("other")).cast("int")).alias("side"),
-        )
-    )
-    large = searched(large, True)
-    return plain.unionByName(large).distinct()
+    rows = classes.select("id", "hi", "lo", F.explode("keys").alias("key"))
+    found = []
+    for depth in range(DEPTH + 1):
+        # few nodes are large, mostly none: their keys are counted before anything moves
+        hot = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > node_rows))
+        some = not hot.isEmpty()
+        plain = rows.join(hot, "key", "left_anti") if some else rows
+        found.append(searched(plain.select("key", "id", "hi", "lo", F.lit(-1).alias("side")), False))
+        if not some:
+            break
+        large = rows.join(hot, "key")
+        refined = (F.col("n") > MOST_BLOCKS * node_rows) if depth < DEPTH else F.lit(False)
+        cut_up = (
+            large.where(~refined)
+            .withColumn("blocks", F.ceil(F.col("n") / node_rows).cast("int"))
+            .withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select(
+                F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"),
+                "id", "hi", "lo",
+                F.when(F.col("mine") == F.col("other"), -1).otherwise((F.col("mine") > F.col("other")).cast("int")).alias("side"),
+            )
+        )
+        found.append(searched(cut_up, True))
+        choices = F.array(*(F.xxhash64("key", F.lit(r), F.col("more")[depth * REFINED + r]) for r in range(REFINED)))
+        rows = large.where(refined).join(classes.select("id", "more"), "id").select("id", "hi", "lo", F.explode(choices).alias("key"))
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out.distinct()
 
 
 def _sets(size: int, min_words: int):
@@ -248,9 +271,9 @@ class NearDuplicates:
         source = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
             F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t")
         )
-        prints = cut(spread(source).mapInArrow(_fingerprints(shingle, min_words), "id bigint, sh bigint, hi bigint, lo bigint, keys array<bigint>"))
+        prints = cut(spread(source).mapInArrow(_fingerprints(shingle, min_words), "id bigint, sh bigint, hi bigint, lo bigint, keys array<bigint>, more array<int>"))
         classes = cut(prints.groupBy("sh").agg(
-            F.min("id").alias("id"), F.max("id").alias("most"), F.first("hi").alias("hi"), F.first("lo").alias("lo"), F.first("keys").alias("keys")
+            F.min("id").alias("id"), F.max("id").alias("most"), F.first("hi").alias("hi"), F.first("lo").alias("lo"), F.first("keys").alias("keys"), F.first("more").alias("more")
         ))
         several = classes.where("id < most").select("sh", F.col("id").alias("rep"))
         #: (rep, id): the members, the representative among them, of classes of two or more

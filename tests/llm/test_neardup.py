@@ -4,7 +4,7 @@ import re
 import numpy as np
 
 from lodestone.llm import neardup
-from lodestone.llm.neardup import components, groups, search, similar_pairs
+from lodestone.llm.neardup import Forest, components, groups, similar_pairs
 
 
 def shingles(t, n):
@@ -66,9 +66,43 @@ def test_search_finds_all_within_the_limit():
     fp = np.concatenate([fp, near])
     g = neardup.gray_rank(fp[:, 0], fp[:, 1])
     fp = fp[np.lexsort((g[1], g[0]))]
-    i, j = search(fp, 30)
     d = np.bitwise_count(fp[:, None, :] ^ fp[None, :, :]).sum(2)
-    assert set(zip(i.tolist(), j.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(np.triu(d <= 30, 1)))))
+    # one tree, and a forest of trees of 1, 2, ... and many rows
+    sizes = [1, 2, 3, 16, 17, 1, 40, 256, 300, 364]
+    for key in (np.zeros(len(fp), np.int64), np.repeat(np.arange(len(sizes)), sizes)):
+        for work in (1 << 21, 500):
+            i, j = Forest(fp, key).near(30, work)
+            want = np.nonzero(np.triu((d <= 30) & (key[:, None] == key[None, :]), 1))
+            assert sorted(zip(i.tolist(), j.tolist())) == sorted(zip(*(x.tolist() for x in want)))
+    assert [len(x) for x in Forest(fp[:0], key[:0]).near(30)] == [0, 0]
+
+
+def test_rows_of_a_hot_node_grow_in_proportion(spark, monkeypatch):
+    """A pattern that a third of many records share, 100,000 of them: refined, not cut into pairs of blocks."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    def classes(n):  # each third record in one node; twins of equal values
+        twin = (F.col("id") / 2).cast("bigint")
+        r = lambda k: F.xxhash64(twin, F.lit(k))
+        hot = F.when(F.col("id") % 6 < 2, F.lit(7)).otherwise(r(100))
+        return spark.range(n).select(
+            "id", r(1).alias("hi"), r(2).alias("lo"), F.array(hot, r(101)).alias("keys"), F.array(*(F.hash(twin, F.lit(k)) for k in range(neardup.REFINED * neardup.DEPTH))).alias("more")
+        )
+
+    small = neardup.candidates(classes(6_000), 10, node_rows=100)
+    assert {tuple(x) for x in small.collect()} == {(i, i + 1) for i in range(0, 6_000, 2)}
+
+    def counted(limit, two_blocks):
+        def run(batches):
+            n = sum(b.num_rows for b in batches)
+            yield pa.RecordBatch.from_arrays([pa.array([np.random.default_rng().integers(2**62)]), pa.array([n])], names=["a", "b"])
+
+        return run
+
+    monkeypatch.setattr(neardup, "_search_nodes", counted)
+    searched = [neardup.candidates(classes(n), 10, node_rows=1_000).agg(F.sum("b")).first()[0] for n in (30_000, 300_000)]
+    assert searched[1] < 11 * searched[0] and searched[1] < 300_000 * (1 + neardup.REFINED)
 
 
 def test_neighbours_in_gray_code_differ_in_one_bit():

@@ -1,9 +1,10 @@
 """Personal information inside free text (problem 3).
 
-Whole texts are tagged by the network of pii_tagger.py in windows of WINDOW characters that
-overlap by OVERLAP.  Each window is decoded on its own; where two overlap, a character takes the
-tag of the window in which it stands farther from the border, and spans are read from the tags
-of the whole text.  Spans are then checked on their characters: an id number of 15 digits must
+Whole texts are scored by the network of pii_tagger.py in windows of WINDOW characters that
+overlap by OVERLAP; where two overlap, a character takes the scores of the window in which it stands
+farther from the border.  The best tags are those of the whole text: of the parts of a longer one the
+best scores between any two tags are found first, then the tags at all borders together, then
+the tags between them.  Spans are then checked on their characters: an id number of 15 digits must
 have the right key, an email a domain, a phone number and an address their digits, a name two
 parts.  The known name parts are a feature of the network, not a condition.  The network was
 trained on few email endings, so an address in plain form is also found by its form.
@@ -24,49 +25,89 @@ from lodestone.llm import pii_tagger as pt
 from lodestone.llm import textcodes as tc
 from lodestone.session import spread
 
-WINDOW, OVERLAP = 384, 96
-#: Windows tagged at once.
-ROWS = 160
-#: Name parts that one broadcast may hold; a larger list is refused, not cut.
+WINDOW, OVERLAP = 1_024, 96
+#: Words of known names that are broadcast (16 MB); more are joined to the words of the texts.
 MAX_PARTS = 1_000_000
+#: Windows scored at once, and code points of texts that are held at once.
+ROWS, CHARS = 320, 1 << 20
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 
-def windows_of(begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start and length of each window, and the part [from, to) of it whose tags count."""
-    start, length, lo, hi = [], [], [], []
-    step = WINDOW - OVERLAP
-    for a, z in zip(begins[:-1].tolist(), begins[1:].tolist()):
-        n = z - a
-        k = max(1, -(-(n - OVERLAP) // step)) if n else 0
-        for w in range(k):
-            s = w * step
-            e = min(n, s + WINDOW)
-            start.append(a + s)
-            length.append(e - s)
-            lo.append(0 if w == 0 else OVERLAP // 2)
-            hi.append(e - s if w == k - 1 else WINDOW - OVERLAP // 2)
-    return tuple(np.array(v, np.int64) for v in (start, length, lo, hi))
+def windows_of(begins: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each window: text, start, length, and the part [from, to) of it whose scores count."""
+    step, size = WINDOW - OVERLAP, np.diff(begins)
+    count = np.where(size > 0, np.maximum(1, -(-(size - OVERLAP) // step)), 0)
+    text = np.repeat(np.arange(len(size)), count)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    length = np.minimum(WINDOW, size[text] - nth * step)
+    lo = np.where(nth == 0, 0, OVERLAP // 2)
+    hi = np.where(nth == count[text] - 1, length, WINDOW - OVERLAP // 2)
+    return text, begins[:-1][text] + nth * step, length, lo, hi
+
+
+def _blocks(length: np.ndarray, rows: int):
+    """Numbers of windows of about one length, with the steps of the longest and which are live."""
+    order = np.argsort(length, kind="stable")
+    for b in range(0, len(order), rows):
+        w = order[b : b + rows]
+        yield w, (live := np.arange(int(length[w].max()))[:, None] < length[w])
 
 
 def tag(tagger: pt.Tagger, x: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Tag of each character of all texts."""
-    start, length, lo, hi = windows_of(begins)
+    """Tag of each character of all texts: the best tags of each whole text."""
+    text, start, length, lo, hi = windows_of(begins)
     out = np.zeros(len(x), np.int8)
     padded = np.append(x, np.zeros(WINDOW, x.dtype))
-    order = np.argsort(length, kind="stable")
-    for b in range(0, len(order), ROWS):
-        w = order[b : b + ROWS]
-        steps = int(length[w].max())
-        live = np.arange(steps)[:, None] < length[w]
-        xs = np.where(live, padded[start[w] + np.arange(steps)[:, None]], 0)
-        tags = tagger.viterbi(tagger.scores(xs), live)
-        own = (np.arange(steps)[:, None] >= lo[w]) & (np.arange(steps)[:, None] < hi[w])
-        t, r = np.nonzero(own)
-        out[start[w][r] + t] = tags[t, r]
+    alone = np.bincount(text, minlength=len(begins))[text] == 1
+
+    def scores(w, live):
+        return tagger.scores(np.where(live, padded[start[w] + np.arange(len(live))[:, None]], 0))
+
+    def put(w, begin, live, tags):
+        t, r = np.nonzero(live)
+        out[begin[w][r] + t] = tags[t, r]
+
+    one = np.flatnonzero(alone)
+    for w, live in _blocks(length[one], ROWS):
+        put(one[w], start, live, tagger.best(scores(one[w], live), live))
+    parts = np.flatnonzero(~alone)
+    if len(parts):
+        begin, size = start + lo, hi - lo
+        where = np.cumsum(size[parts]) - size[parts]
+        joint = np.empty((int(size[parts].sum()), pt.TAGS), np.float32)
+        for w, live in _blocks(length[parts], ROWS):
+            e, p = scores(parts[w], live), parts[w]
+            for r in range(len(p)):
+                joint[where[w[r]] : where[w[r]] + size[p[r]]] = e[lo[p[r]] : hi[p[r]], :, r]
+        joint = np.concatenate([joint, np.zeros((WINDOW, pt.TAGS), np.float32)])
+        cores = lambda w, live: np.ascontiguousarray(joint[where[w] + np.arange(len(live))[:, None]].transpose(0, 2, 1))
+        between = np.empty((len(parts), pt.TAGS + 1, pt.TAGS), np.float32)
+        for w, live in _blocks(size[parts], ROWS // 8):
+            between[w] = tagger.transfers(cores(w, live), live)
+        before, last = _borders(between, text[parts])
+        for w, live in _blocks(size[parts], ROWS):
+            put(parts[w], begin, live, tagger.best(cores(w, live), live, before[w], last[w]))
     return out
 
 
+def _borders(between: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tag before each part (-1 at the beginning of a text) and at its end, on the best path of its text."""
+    before, last = np.full(len(text), -1), np.zeros(len(text), np.int64)
+    ends = np.r_[np.flatnonzero(np.r_[True, text[1:] != text[:-1]]), len(text)]
+    for a, z in zip(ends[:-1], ends[1:]):
+        best, back = between[a, -1], []
+        for k in range(a + 1, z):
+            paths = best[:, None] + between[k, :-1]
+            back.append(paths.argmax(0))
+            best = paths.max(0)
+        at = int(best.argmax())
+        for k in range(z - 1, a, -1):
+            last[k] = at
+            at = before[k] = int(back[k - 1 - a][at])
+        last[a] = at
+    return before, last
+
+
 def spans_of(tags: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, kind) of the tagged spans.  A span ends with its kind, at a new beginning or
     at the end of its text; one that lacks its beginning is taken to begin where it is seen."""
@@ -87,6 +128,7 @@ _TITLE = re.compile(r"(?:mr|mrs|ms|mme|mlle|monsieur|madame|herr|frau|dr|prof)\b
 _AT = re.compile(r"@|\bat\b|[\[({]at[\])}]", re.I)
 #: A whole address with any ending of letters; no part of a path, a package or "user@host:path".
 _EMAIL = re.compile(r"(?<![\w.+%/@-])[\w+%-]+(?:\.[\w+%-]+)*@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}(?![\w@/-]|[.:]\w)")
+_PATH = re.compile(r"@.*[:/]\w")
 _DOT = re.compile(r"\.|\bdot\b", re.I)
 
 
@@ -102,7 +144,7 @@ def checked(text: str, start: int, end: int, kind: str) -> tuple[int, int] | Non
     v = text[start:end]
     digits = re.sub(r"\D", "", v)
     if kind == "email":
-        ok = bool(_AT.search(v) and _DOT.search(v[_AT.search(v).end() :])) and "/" not in v
+        ok = bool(_AT.search(v) and _DOT.search(v[_AT.search(v).end() :])) and "/" not in v and not _PATH.search(text, start, min(len(text), end + 2))
     elif kind == "phone":
         ok = 7 <= len(digits) <= 15
     elif kind == "id_number":
@@ -142,27 +184,59 @@ def find_batch(texts: pa.Array, given: np.ndarray, family: np.ndarray, tagger: p
     return out
 
 
-def _known(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    rows = parts.where(F.col("name_part").isNotNull()).select("name_part", "position_kind").limit(MAX_PARTS + 1).toArrow()
-    if len(rows) > MAX_PARTS:
-        raise ValueError(f"more than {MAX_PARTS} name parts")
-    pairs = list(zip(rows["name_part"].to_pylist(), rows["position_kind"].to_pylist()))
-    return tuple(pt.name_hashes([p for p, k in pairs if k == kind]) for kind in ("given", "family"))
+def _name_words(parts: DataFrame) -> DataFrame:
+    """(k, h): hashes of the words of known name parts, k 0 for given and 1 for family names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, kind in enumerate(("given", "family")):
+                h = pt.name_hashes(batch.column(0).filter(pc.equal(batch.column(1), kind)).drop_null().to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k)), pa.array(h.view(np.int64))], names=["k", "h"])
 
+    return parts.select("name_part", "position_kind").mapInArrow(run, "k bigint, h bigint").distinct()
 
-def _run(df: DataFrame, parts: DataFrame, id_col: str, text_col: str, schema: str, make) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast((*_known(parts), pt.weights()))
-    source = spread(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t")))
+
+def _with_known(source: DataFrame, words: DataFrame) -> DataFrame:
+    """source (id, t) with the known words that each text holds, as array of (k, h)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, of = pt.word_hashes(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(h.view(np.int64))], names=["x", "h"])
+
+    keyed = source.withColumn("x", F.xxhash64("t"))
+    held = keyed.select("x", "t").where("t is not null").mapInArrow(run, "x bigint, h bigint").distinct()
+    of = held.join(words, "h").groupBy("x").agg(F.collect_list(F.struct("k", "h")).alias("w"))  # no more than a text has words
+    return keyed.join(of, "x", "left").select("id", "t", "w")
+
+
+def _run(df: DataFrame, parts: DataFrame, id_col: str, text_col: str, schema: str, make, most: int = MAX_PARTS) -> DataFrame:
+    spark = df.sparkSession
+    source, words = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t")), _name_words(parts)
+    known = words.limit(most + 1).toArrow()
+    if len(known) > most:  # too many to send to every task
+        source, known = _with_known(source, words), None
+    else:
+        k, h = known["k"].to_numpy(), known["h"].to_numpy().view(np.uint64)
+        known = np.sort(h[k == 0]), np.sort(h[k == 1])
+    shared = spark.sparkContext.broadcast((known, pt.weights()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given, family, weights = shared.value
+        known, weights = shared.value
         tagger = pt.Tagger(weights)
         for batch in batches:
-            for a in range(0, batch.num_rows, 1_000):
-                part = batch.slice(a, 1_000)
+            _, begins = tc.codes_of(batch.column(1))
+            for a, z in tc.chunks(begins, CHARS):
+                part = batch.slice(a, z - a)
+                if known is None:
+                    flat = part.column(2).flatten()
+                    k, h = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False).view(np.uint64)
+                    given, family = np.unique(h[k == 0]), np.unique(h[k == 1])
+                else:
+                    given, family = known
                 yield make(part.column(0), part.column(1), find_batch(part.column(1), given, family, tagger))
 
-    return source.mapInArrow(run, schema)
+    return spread(source).mapInArrow(run, schema)
 
 
 def find(df: DataFrame, parts: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:

@@ -13,6 +13,7 @@ from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 
 from lodestone.llm import textcodes as tc
 
@@ -61,11 +62,14 @@ def name_hashes(parts: list[str]) -> np.ndarray:
     """Sorted hashes of the letter runs of three or more letters in known name parts."""
     if not parts:
         return np.zeros(0, np.uint64)
-    import pyarrow as pa
+    return np.unique(word_hashes(pa.array(parts, pa.string()))[0])
 
-    codes, begins = tc.codes_of(pa.array(parts, pa.string()))
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each letter run of three or more letters in the texts, and the number of its text."""
+    codes, begins = tc.codes_of(texts)
     hashes, starts, lengths = _runs(folded(codes), begins)
-    return np.unique(hashes[lengths >= 3])
+    return hashes[lengths >= 3], (np.searchsorted(begins, starts, "right") - 1)[lengths >= 3]
 
 
 def _runs(codes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,48 +108,68 @@ def weights() -> dict[str, np.ndarray]:
         return dict(z)
 
 
+#: Tags in the order of Viterbi's arrays: outside, beginnings, goings-on.
+ORDER = np.array([0, *range(1, TAGS, 2), *range(2, TAGS, 2)])
+HEADS = 1 + len(KINDS)
+NEVER = np.float32(-1e4)
+
+
 class Tagger:
+    """Scores and best tags of windows; all arrays are (steps, ..., rows).
+
+    sigmoid(z) = (tanh(z / 2) + 1) / 2: halving those gates' weights leaves one tanh for all, and
+    states are kept doubled, so that no gate is halved on its own.  Each gate has an array of its
+    own, because short steps over parts of rows cost more than their arithmetic.
+    """
+
     def __init__(self, params: dict[str, np.ndarray]):
         self.p = {k: v.astype(np.float32) for k, v in params.items()}
-        # sigmoid(z) = tanh(z / 2) / 2 + 1 / 2: halving those gates' weights leaves one tanh for all
-        half = np.ones(4 * self.p["rec0"].shape[0], np.float32)
-        half[: 3 * len(half) // 4] = 0.5
-        self.rec = [self.p[f"rec{d}"] * half for d in (0, 1)]
-        bits = (np.arange(16)[:, None] >> np.arange(FLAGS)) & 1
-        self.table = [
-            ((self.p[f"char{d}"][:, None, :] + bits.astype(np.float32) @ self.p[f"flag{d}"]) * half).reshape(SYMBOLS * 16, -1)
-            for d in (0, 1)
-        ]
+        H = self.p["rec0"].shape[0]
+        half = np.array([0.5, 0.5, 0.5, 1], np.float32)[:, None, None]
+        gates = lambda w: np.ascontiguousarray(w.reshape(len(w), 4, H).transpose(1, 0, 2)) * half
+        bits = ((np.arange(16)[:, None] >> np.arange(FLAGS)) & 1).astype(np.float32)
+        self.rec = [gates(self.p[f"rec{d}"]) * np.float32(0.5) for d in (0, 1)]
+        self.table = [gates((self.p[f"char{d}"][:, None, :] + bits @ self.p[f"flag{d}"]).reshape(SYMBOLS * 16, -1)) for d in (0, 1)]
+        self.out = [np.ascontiguousarray((self.p[f"out{d}"] * np.float32(0.5))[:, ORDER]) for d in (0, 1)]
+        # a kind goes on only behind its beginning or itself
+        trans, start = self.p["trans"][ORDER][:, ORDER].copy(), self.p["start"][ORDER].copy()
+        start[HEADS:] = NEVER
+        for k in range(len(KINDS)):
+            others = np.ones(TAGS, bool)
+            others[[1 + k, HEADS + k]] = False
+            trans[others, HEADS + k] = NEVER
+        self.trans, self.start = trans, start
 
     @classmethod
     def load(cls) -> Tagger:
         return cls(weights())
 
     def _direction(self, d: int, x: np.ndarray) -> np.ndarray:
-        """States of direction d (steps, rows, hidden); x is (steps, rows).
+        """Doubled states of direction d (steps, rows, hidden); x is (steps, rows).
 
         All work arrays are made once: a step is short, and fresh memory would cost more than it.
         """
         steps, rows = x.shape
         U, table = self.rec[d], self.table[d]
-        H = U.shape[0]
+        H = U.shape[1]
         states = np.empty((steps, rows, H), np.float32)
-        z, zu = np.empty((rows, 4 * H), np.float32), np.empty((rows, 4 * H), np.float32)
+        z, zu = np.empty((4, rows, H), np.float32), np.empty((4, rows, H), np.float32)
         h, c, t2 = (np.zeros((rows, H), np.float32) for _ in range(3))
-        i, f, o, g = (z[:, k * H : (k + 1) * H] for k in range(4))
-        sigmoids = z[:, : 3 * H]
+        i, f, o, g = z
+        sigmoids = z[:3]
         live = (x != 0).astype(np.float32)[:, :, None]
+        padded = np.flatnonzero(~(x != 0).all(1))
         for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
-            np.take(table, x[t], axis=0, out=z, mode="clip")
+            np.take(table, x[t], axis=1, out=z, mode="clip")
             np.matmul(h, U, out=zu)
             z += zu
             np.tanh(z, out=z)
-            sigmoids *= 0.5
-            sigmoids += 0.5
+            sigmoids += 1
             c *= f
-            np.multiply(i, g, out=t2)
-            c += t2
-            if d:  # padding stands at the end, so the backward direction begins with it
+            i *= g
+            c += i
+            c *= np.float32(0.5)
+            if d and len(padded) and t >= padded[0]:  # padding stands at the end, so the backward direction begins with it
                 c *= live[t]
             np.tanh(c, out=t2)
             h = states[t]
@@ -153,44 +177,56 @@ class Tagger:
         return states
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        """(steps, rows, TAGS) from inputs (steps, rows), 0 being padding."""
+        """(steps, TAGS in ORDER, rows) from inputs (steps, rows), 0 being padding."""
         steps, rows = x.shape
-        out = np.zeros((steps * rows, TAGS), np.float32) + self.p["bias"]
+        out = np.zeros((steps * rows, TAGS), np.float32) + self.p["bias"][ORDER]
         for d in (0, 1):
-            states = self._direction(d, x)
-            out += states.reshape(steps * rows, -1) @ self.p[f"out{d}"]
-        return out.reshape(steps, rows, TAGS)
-
-    def viterbi(self, e: np.ndarray, live: np.ndarray) -> np.ndarray:
-        """Best tags (steps, rows); steps beyond a row's end repeat its last choice."""
-        steps, rows, n = e.shape
-        T = self.p["trans"]
-        e = np.ascontiguousarray(e.transpose(0, 2, 1))  # (steps, tags, rows)
-        best = e[0] + self.p["start"][:, None]
-        back = np.empty((steps, n, rows), np.int8)
-        stay = np.arange(n, dtype=np.int8)[:, None]
-        top, one, better = np.empty((n, rows), np.float32), np.empty((n, rows), np.float32), np.empty((n, rows), bool)
-        ends = not live.all()
-        for t in range(1, steps):
-            from_ = back[t]
-            np.add(best[0], T[0][:, None], out=top)
-            from_[:] = 0
-            for k in range(1, n):
-                np.add(best[k], T[k][:, None], out=one)
-                np.greater(one, top, out=better)
-                np.copyto(top, one, where=better)
-                np.copyto(from_, np.int8(k), where=better)
-            top += e[t]
-            if ends and not live[t].all():
-                off = ~live[t]
-                np.copyto(top, best, where=off)
-                np.copyto(from_, stay, where=off)
+            out += self._direction(d, x).reshape(steps * rows, -1) @ self.out[d]
+        return np.ascontiguousarray(out.reshape(steps, rows, TAGS).transpose(0, 2, 1))
+
+    def _forward(self, e: np.ndarray, live: np.ndarray, first: np.ndarray, keep: bool):
+        """Best scores of paths that end in each tag, (tags, starts, rows), and those of all steps
+        if asked.  ``first`` (tags, starts, rows) is what a path scores before it meets e[0]."""
+        T = self.trans
+        to_head = T[:, :HEADS, None, None]
+        begins = T[np.arange(1, HEADS), np.arange(HEADS, TAGS)][:, None, None]
+        goes_on = T[np.arange(HEADS, TAGS), np.arange(HEADS, TAGS)][:, None, None]
+        best = first + e[0][:, None, :]
+        every = np.empty((len(e), *best.shape), np.float32) if keep else None
+        work, top = np.empty((TAGS, HEADS, *best.shape[1:]), np.float32), np.empty_like(best)
+        whole = live.all(1)
+        if keep:
+            every[0] = best
+        for t in range(1, len(e)):
+            np.add(best[:, None], to_head, out=work)
+            np.maximum.reduce(work, axis=0, out=top[:HEADS])
+            np.maximum(best[1:HEADS] + begins, best[HEADS:] + goes_on, out=top[HEADS:])
+            top += e[t][:, None, :]
+            if not whole[t]:
+                np.copyto(top, best, where=~live[t])
             best, top = top, best
-        tags = np.zeros((steps, rows), np.int8)
-        at = best.argmax(0)
-        every = np.arange(rows)
+            if keep:
+                every[t] = best
+        return best, every
+
+    def transfers(self, e: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """(rows, tag before, last tag): the best score of each part of a text between any two tags;
+        the last of the tags before stands for the beginning of a text."""
+        first = np.repeat(np.concatenate([self.trans.T, self.start[:, None]], axis=1)[:, :, None], e.shape[2], axis=2)
+        return self._forward(e, live, first, False)[0].transpose(2, 1, 0)
+
+    def best(self, e: np.ndarray, live: np.ndarray, before: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
+        """Best tags (steps, rows), in the numbering of the labels; steps beyond a row's end repeat
+        its last one.  ``before`` and ``last`` (in ORDER) are the tag in front, -1 at the beginning of a
+        text, and the tag at the end, if it is known."""
+        rows = e.shape[2]
+        first = np.repeat(self.start[:, None], rows, axis=1) if before is None else np.where(before < 0, self.start[:, None], self.trans.T[:, before])
+        end, every = self._forward(e, live, first[:, None, :], True)
+        at = end[:, 0].argmax(0) if last is None else last
+        tags = np.empty((len(e), rows), np.int8)
         tags[-1] = at
-        for t in range(steps - 1, 0, -1):
-            at = back[t][at, every].astype(np.int64)
+        for t in range(len(e) - 1, 0, -1):
+            from_ = (every[t - 1][:, 0] + self.trans[:, at]).argmax(0)
+            at = np.where(live[t], from_, at)
             tags[t - 1] = at
-        return tags
+        return ORDER.astype(np.int8)[tags]

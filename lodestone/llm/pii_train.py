@@ -18,7 +18,7 @@ import numpy as np
 from lodestone.llm import pii_tagger as pt
 
 MAX_TEXTS = 20_000
-HIDDEN, CROP, BATCH = 48, 144, 96
+HIDDEN, CROP, BATCH = 32, 144, 96
 SP = r"[\s ]"
 W = r"[^\W\d_]"
 
@@ -114,17 +114,80 @@ class Labeller:
         return out
 
 
-CONSONANTS, VOWELS = "bcdfghjklmnprstvwz", "aeiouyéö"
+CONSONANTS, VOWELS = "bcdfghjklmnpqrstvwxyz", "aeiou" * 4 + "yéöüàï"
+ENDINGS = ("", "", "n", "rk", "lle", "ne", "th", "d", "s", "ra", "l", "son", "mann", "ez", "berg", "ton", "ski", "ova", "ini", "ard", "eau", "ier", "ich", "sen", "ley", "ia", "o", "us", "et")
+DOMAINS = ("com", "org", "net", "info", "eu", "io", "edu", "gov", "fr", "de", "uk", "co.uk", "ch", "at", "be", "it", "es", "nl", "pl", "se", "ca", "com.au", "museum", "cloud", "dev", "app")
 
 
 def _word(rng: random.Random) -> str:
-    return "".join(rng.choice(CONSONANTS) + rng.choice(VOWELS) for _ in range(rng.choice((1, 2, 2)))) + rng.choice(
-        ("n", "rk", "lle", "ne", "th", "d", "s", "ra", "l", "vok", "zzan", "ssier", "quet", "rwick", "mbry", "lden", "stov", "ndt", "nsk", "son", "mann", "ez", "berg", "ton")
-    )
+    """A word that looks like a name in one language or another."""
+    return "".join(rng.choice(CONSONANTS) + rng.choice(VOWELS) for _ in range(rng.choice((1, 2, 2, 3)))) + rng.choice(ENDINGS)
+
+
+def _like(rng: random.Random, shown: str) -> str:
+    """A new word in the case of the one shown."""
+    w = _word(rng)
+    return w.upper() if shown.isupper() and len(shown) > 1 else w.capitalize() if shown[0].isupper() else w
+
+
+def _ascii(w: str) -> str:
+    return "".join(map(chr, pt.folded(np.array([ord(c) for c in w], np.uint32)))) if not w.isascii() else w
+
+
+def _digits(rng: random.Random, shape: str) -> str:
+    """The shape with a digit for each N (none of them zero for X) and a capital for each A."""
+    draw = {"N": "0123456789", "X": "123456789", "A": "ABCDEFGHJKLMNPRSTUVWXYZ"}
+    return "".join(rng.choice(draw[c]) if c in draw else c for c in shape)
+
+
+PHONES = (
+    "(XNN) XNN-NNNN", "XNN-XNN-NNNN", "XNN.XNN.NNNN", "XNN XNN NNNN", "+1 XNN XNN NNNN", "+1-XNN-XNN-NNNN", "+1 (XNN) XNN-NNNN", "1-XNN-XNN-NNNN", "+1XNNXNNNNNN",
+    "0X NN NN NN NN", "0X.NN.NN.NN.NN", "0X-NN-NN-NN-NN", "0XNNNNNNNN", "+33 X NN NN NN NN", "+33XNNNNNNNN", "+33 (0)X NN NN NN NN", "0033 X NN NN NN NN", "+33.X.NN.NN.NN.NN",
+    "+49 XN NNNNNNN", "+49 XNN NNNNNN", "+49 (0)XN NNNNNNNN", "0XN NNNNNNN", "0XN/NNNNNNN", "0XNN NNNN NNN", "(0XN) NNNN NNNN", "0XNNN-NNNNNN", "+49XNNNNNNNNN", "0049 XNN NNNNNNN",
+    "+44 XN NNNN NNNN", "+44 XNNN NNNNNN", "0XN NNNN NNNN", "0XNNN NNNNNN", "(0XNNN) NNNNNN", "+44 (0)XN NNNN NNNN", "07NNN NNNNNN", "07NNN NNN NNN",
+    "+XN NN NNN NN NN", "+XNN XNN NNN NNN", "+XN XNN NNN NNN", "00XN NNN NNN NNN",
+)
+PASSPORTS = ("NNAANNNNN", "ANNNNNNNN", "AANNNNNN", "AANNNNNNN", "XNNNNNNNN", "ANNANNNNN", "NNAA NNNNN")
+
+
+def new_value(kind: int, v: str, rng: random.Random) -> str:
+    """Another value of the kind, in one of many forms; obfuscation and order of ``v`` are kept."""
+    if kind == 0:
+        words = list(re.finditer(rf"{W}+", v))
+        out, at = [], 0
+        for m in words:
+            out.append(v[at : m.start()])
+            keep = m[0].lower() in ("at", "dot")
+            out.append(m[0] if keep else rng.choice(DOMAINS) if m is words[-1] and "." in v[m.start() - 1 : m.start()] else rng.choice([d for d in DOMAINS if "." not in d]) if m is words[-1] else _ascii(_like(rng, m[0])) if len(m[0]) > 2 else m[0])
+            at = m.end()
+        return "".join(out) + v[at:]
+    if kind == 1:
+        return _digits(rng, rng.choice(PHONES))
+    if kind == 2:
+        if re.search(r"[A-Za-z]", v):
+            return _digits(rng, rng.choice(PASSPORTS))
+        if len(re.sub(r"\D", "", v)) != 15:
+            return _digits(rng, rng.choice(("NNN-NN-NNNN", "NNN NN NNNN", "NNN-NN-NNNN")))
+        d = rng.choice("12") + _digits(rng, "NNNNNNNNNNNN")
+        d += f"{97 - int(d) % 97:02d}"
+        return d if rng.random() < 0.4 else " ".join((d[0], d[1:3], d[3:5], d[5:7], d[7:10], d[10:13], d[13:]))
+    if kind == 3:  # new numbers, and new names of the street and the town
+        fixed = set("street st road rd lane ln avenue ave close terrace drive way row crescent flat apt unit bis ter quater rue av bd boulevard allée impasse chemin place quai cours des du de la".split())
+        kinds = r"(?:straße|strasse|str|gasse|weg|allee|platz|ufer)$"
+
+        def word(m: re.Match) -> str:
+            if m[0].lower() in fixed or len(m[0]) < 3:
+                return m[0]
+            tail = re.search(kinds, m[0].lower())
+            return _like(rng, m[0]) + (m[0][tail.start() :] if tail else "") if not tail or tail.start() else m[0]
+
+        v = re.sub(rf"{W}+", word, v)
+        return re.sub(r"\d+", lambda m: _digits(rng, "X" + "N" * (len(m[0]) - 1)) if len(m[0]) == 5 else str(rng.randrange(1, rng.choice((10, 100, 400)))), v)
+    return re.sub(rf"{W}{{3,}}", lambda m: m[0] if m[0].lower() in ("von", "van") or rng.random() < 0.3 else _like(rng, m[0]), v)
 
 
 def varied(text: str, spans: list[tuple[int, int, int]], rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
-    """The text with some labelled values, and some digits elsewhere, drawn anew in the same shape."""
+    """The text with most labelled values, and some digits elsewhere, drawn anew."""
     out, now, last = [], [], 0
     for a, b, kind in [*spans, (len(text), len(text), -1)]:
         rest = text[last:a]
@@ -133,19 +196,7 @@ def varied(text: str, spans: list[tuple[int, int, int]], rng: random.Random) ->
         out.append(rest)
         if kind < 0:
             break
-        v = text[a:b]
-        if rng.random() < 0.6:
-            if kind in (1, 2):
-                head = 2 if kind == 1 else 1
-                v = v[:head] + re.sub(r"\d", lambda m: str(rng.randrange(10)), v[head:])
-            elif kind in (0, 4):
-                def new(m: re.Match) -> str:
-                    w = _word(rng)
-                    return w.upper() if m[0].isupper() else w.capitalize() if m[0][0].isupper() else w
-                keep = {"dot", "at", "example", "test", "invalid", "von", "van"}
-                v = re.sub(rf"{W}{{3,}}", lambda m: m[0] if m[0].lower() in keep or rng.random() < 0.5 else new(m), v)
-            else:
-                v = re.sub(r"\d", lambda m: str(rng.randrange(1, 10)), v)
+        v = text[a:b] if rng.random() < 0.3 else new_value(kind, text[a:b], rng)
         begin = sum(map(len, out))
         out.append(v)
         now.append((begin, begin + len(v), kind))
@@ -153,6 +204,26 @@ def varied(text: str, spans: list[tuple[int, int, int]], rng: random.Random) ->
     return "".join(out), now
 
 
+def elsewhere(values: list[tuple[str, int]], fragments: list[str], rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
+    """New values between words cut from texts without any, so that no sentence goes with a kind."""
+    out, spans, at = [], [], 0
+    for _ in range(rng.choice((1, 2, 3))):
+        v, kind = rng.choice(values)
+        lead = rng.choice(fragments) + rng.choice((" ", " ", ": ", " (", ", "))
+        if kind == 2 and re.search(r"[A-Za-z]", v):
+            lead += rng.choice(("passport ", "passport no. ", "passeport ", "Reisepass ", "Passport number: "))
+        v = new_value(kind, v, rng)
+        out += [lead, v, rng.choice((". ", ", ", " ", ") ", "\n"))]
+        at += len(lead)
+        spans.append((at, at + len(v), kind))
+        at += len(v) + len(out[-1])
+    return "".join(out), spans
+
+
+#: Forms that look like personal information: what stands in one outside the labels is shown often.
+LURE = re.compile(rf"@|\d{{2,}}[ .:-]?\d+|\d+ [A-Z]{W}+|[A-Z]{W}+ [A-Z]{W}+|[A-Z]\. {W}+")
+
+
 def crops(texts: list[str], label: Labeller, parts, seed: int):
     """Endless batches (inputs, tags), (CROP, BATCH) each."""
     import pyarrow as pa
@@ -162,22 +233,33 @@ def crops(texts: list[str], label: Labeller, parts, seed: int):
     rng = random.Random(seed)
     labelled = [(t, label(t)) for t in texts]
     with_pii = [i for i, (_, s) in enumerate(labelled) if s]
-    lure = re.compile(r"@|Passport service|Order \d|Epoch|rel-|Street View|lanes|Address \d|rollout|unsigned\.|Hash|Window|Sage|Amber|Ruby|Iris|Basil|Robin|left the|copied over", re.I)
-    lures = [i for i, (t, _) in enumerate(labelled) if lure.search(t)]
+    values = [(t[a:b], k) for t, s in labelled for a, b, k in s]
+    values = [v for kind in range(len(pt.KINDS)) for v in rng.choices([x for x in values if x[1] == kind] or values[:1], k=3_000)] if values else []
+    lures = [i for i, (t, s) in enumerate(labelled) if any(not any(a < m.end() and m.start() < b for a, b, _ in s) for m in LURE.finditer(t))]
+    plain = [t for t, s in labelled if not s and len(t) > 120]
+    fragments = []
+    for _ in range(8_000):
+        words = rng.choice(plain).split()
+        k = rng.randrange(max(1, len(words) - 8))
+        fragments.append(" ".join(words[k : k + rng.randrange(1, 9)]))
+    known = {w for w in label.given | label.family}
+    fragments = [f for f in fragments if not any(label.fold(w) in known or w[:1].isupper() for w in f.split()[-2:])]
     given, family = [p for p, k in parts if k == "given"], [p for p, k in parts if k == "family"]
     while True:
-        keep = rng.choice((0.6, 0.8, 0.95))
+        keep = rng.choice((0.4, 0.7, 0.95))
         g = pt.name_hashes([p for p in given if rng.random() < keep])
         f = pt.name_hashes([p for p in family if rng.random() < keep])
         some, tags = [], []
         for _ in range(BATCH):
             kind = rng.random()
-            i = rng.choice(with_pii) if kind < 0.6 else rng.choice(lures) if kind < 0.85 else rng.randrange(len(labelled))
-            t, s = varied(*labelled[i], rng) if rng.random() < 0.7 else labelled[i]
-            if s and kind < 0.6:
+            i = rng.choice(with_pii) if kind < 0.5 else rng.choice(lures) if kind < 0.75 else rng.randrange(len(labelled))
+            t, s = elsewhere(values, fragments, rng) if kind >= 0.88 else varied(*labelled[i], rng) if rng.random() < 0.7 else labelled[i]
+            if s and kind < 0.5:
                 a = s[rng.randrange(len(s))][0] - rng.randrange(CROP - 30)
-            elif kind < 0.85 and (m := [x.start() for x in lure.finditer(t)]):
+            elif 0.5 <= kind < 0.75 and (m := [x.start() for x in LURE.finditer(t) if not any(a <= x.start() < b for a, b, _ in s)]):
                 a = rng.choice(m) - rng.randrange(CROP - 30)
+            elif kind >= 0.88:
+                a = rng.randrange(max(1, len(t) - CROP + 1))
             else:
                 a = rng.randrange(max(1, len(t) - CROP // 2))
             a = max(0, a)
@@ -187,8 +269,7 @@ def crops(texts: list[str], label: Labeller, parts, seed: int):
                 if z <= a or x >= a + CROP:
                     continue
                 y[max(0, x - a) : z - a] = 2 + 2 * k
-                if x >= a:
-                    y[x - a] = 1 + 2 * k
+                y[max(0, x - a)] = 1 + 2 * k  # a crop may begin inside one
             some.append(piece)
             tags.append(y)
         codes, begins = tc.codes_of(pa.array(some, pa.string()))
@@ -304,33 +385,52 @@ def step(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float,
     return float((logz - gold).sum() / n), grads
 
 
-def main(directory: str, minutes: float, seed: int = 7) -> None:
+_batches = None
+
+
+def _begin(texts: list[str], parts, label: Labeller, seeds) -> None:
+    global _batches
+    _batches = crops(texts, label, parts, seeds.get())
+
+
+def _one(p: dict[str, np.ndarray]) -> tuple[float, dict[str, np.ndarray]]:
+    return step(p, *next(_batches))
+
+
+def main(directory: str, minutes: float, processes: int = 8, seed: int = 7) -> None:
+    """Trains for so many minutes; each step adds up the gradients of one batch per process."""
+    import multiprocessing as mp
+
     import pyarrow.dataset as ds
 
     read = lambda t, c: ds.dataset(f"{directory}/{t}.parquet").to_table(columns=c)
     texts = list(dict.fromkeys(t for t in read("memories", ["content"])["content"].to_pylist() if t))[:MAX_TEXTS]
     parts = [(r["name_part"], r["position_kind"]) for r in read("name_parts", ["name_part", "position_kind"]).to_pylist() if r["name_part"]]
     label = Labeller(texts, parts)
+    context = mp.get_context("fork")
+    seeds = context.Queue()
+    for k in range(processes):
+        seeds.put(seed + k)
     p, m1, m2 = initial(seed), {}, {}
-    end, began, n, mean = time.time() + 60 * minutes, time.time(), 0, 0.0
-    for x, y in crops(texts, label, parts, seed):
-        done = (time.time() - began) / (end - began)
-        if done >= 1:
-            break
-        loss, grads = step(p, x, y)
-        n += 1
-        mean += (loss - mean) * max(0.02, 1 / n)
-        rate = 4e-3 * min(1, n / 50) * (1 - done + 0.02)
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-        for k, g in grads.items():
-            g = g * min(1.0, 1.0 / (norm + 1e-9))
-            m1[k] = 0.9 * m1.get(k, 0) + 0.1 * g
-            m2[k] = 0.995 * m2.get(k, 0) + 0.005 * g * g
-            p[k] -= (rate * (m1[k] / (1 - 0.9**n)) / (np.sqrt(m2[k] / (1 - 0.995**n)) + 1e-7)).astype(np.float32)
-        if n % 50 == 0:
-            print(n, round(time.time() - began), f"{mean:.5f}", flush=True)
-            np.savez_compressed(pt.WEIGHTS, **{k: v.astype(np.float16) for k, v in p.items()})
-    np.savez_compressed(pt.WEIGHTS, **{k: v.astype(np.float16) for k, v in p.items()})
+    save = lambda: np.savez_compressed(pt.WEIGHTS, **{k: v.astype(np.float16) for k, v in p.items()})
+    with context.Pool(processes, _begin, (texts, parts, label, seeds)) as pool:
+        end, began, n, mean = time.time() + 60 * minutes, time.time(), 0, 0.0
+        while (done := (time.time() - began) / (end - began)) < 1:
+            found = pool.map(_one, [p] * processes, chunksize=1)
+            loss, grads = sum(x for x, _ in found) / processes, {k: sum(g[k] for _, g in found) / processes for k in p}
+            n += 1
+            mean += (loss - mean) * max(0.02, 1 / n)
+            rate = 6e-3 * min(1, n / 60) * (1 - done + 0.01)
+            norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+            for k, g in grads.items():
+                g = g * min(1.0, 1.0 / (norm + 1e-9))
+                m1[k] = 0.9 * m1.get(k, 0) + 0.1 * g
+                m2[k] = 0.995 * m2.get(k, 0) + 0.005 * g * g
+                p[k] = p[k] - (rate * (m1[k] / (1 - 0.9**n)) / (np.sqrt(m2[k] / (1 - 0.995**n)) + 1e-7)).astype(np.float32)
+            if n % 50 == 0:
+                print(n, round(time.time() - began), f"{mean:.5f}", flush=True)
+                save()
+    save()
 
 
 if __name__ == "__main__":

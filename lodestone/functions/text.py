@@ -6,8 +6,10 @@ are Unicode's.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Categories in the order in which they are tried, with the words that show them.
 CATEGORY_WORDS = (
@@ -18,6 +20,7 @@ CATEGORY_WORDS = (
 )
 # Weight of each category in a score.
 CATEGORY_WEIGHTS = {"decision": 3.0, "error": 2.0, "fact": 1.5, "pattern": 1.2, "transient": 1.0}
+# Half-life of a score in days, its most, and what each further day adds.
 HALF_LIFE_DAYS = 14.0
 SCORE_CAP = 5.0
 FREQUENCY_STEP = 1.3 - 1.0
@@ -41,6 +44,15 @@ SECRETS = (
 SECRET_PATHS = r"(?i)\.secrets/|\.env$|credentials|token|password|\.git/"
 
 
+# Words of a decision that is done; marks in front of an item (and of a cluster).
+DONE = r"\[x\]|completed|done|terminé|livré"
+ITEM_MARKS, CLUSTER_MARKS = "TODO|DONE|✅|❌|⚠️", "TODO|DONE|✅|❌|⚠️|🔵"
+# Formatting that is taken off, forms of entities, names of notes.
+BOLD, CODE, LINK, BULLETS = r"\*\*(.+?)\*\*", r"`(.+?)`", r"\[([^\]]+)\]\([^)]+\)", "-* "
+CAPITALISED, VERSION, ACRONYM = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\b", r"\b(v\d+\.\d+(?:\.\d+)?)\b", r"\b([A-Z]{2,5})\b"
+NOTE_NAME = r"\A(\d{4}-\d{2}-\d{2})(?:-.+)?\.md\z"
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
@@ -75,7 +87,7 @@ def entity_boost(n: Column) -> Column:
 
 
 def completion_factor(kind: Column, text: Column) -> Column:
-    done = text.rlike(r"(?diU)\[x\]|completed|done|terminé|livré")
+    done = text.rlike(f"(?diU){DONE}")
     return F.when((kind == "decision") & done, 0.5).otherwise(1.0)
 
 
@@ -98,33 +110,47 @@ def _grouping_key(c: Column, marks: str, clock: bool, size: int) -> Column:
 
 def text_key(c: Column, size: int = 60) -> Column:
     """Key under which an item recurs: lower case, without bullet, mark, dates and extra blanks."""
-    return _grouping_key(c, "TODO|DONE|✅|❌|⚠️", False, size)
+    return _grouping_key(c, ITEM_MARKS, False, size)
 
 
 def cluster_key(c: Column, size: int = 60) -> Column:
     """As text_key, without times of day too."""
-    return _grouping_key(c, "TODO|DONE|✅|❌|⚠️|🔵", True, size)
+    return _grouping_key(c, CLUSTER_MARKS, True, size)
 
 
 def plain(c: Column) -> Column:
     """Without bold, code, links and leading bullets."""
-    x = F.regexp_replace(c, r"(?dU)\*\*(.+?)\*\*", "$1")
-    x = F.regexp_replace(x, r"(?dU)`(.+?)`", "$1")
-    x = F.regexp_replace(x, r"\[([^\]]+)\]\([^)]+\)", "$1")
-    return strip(F.ltrim(x, F.lit("-* ")))
+    x = F.regexp_replace(c, f"(?dU){BOLD}", "$1")
+    x = F.regexp_replace(x, f"(?dU){CODE}", "$1")
+    x = F.regexp_replace(x, LINK, "$1")
+    return strip(F.ltrim(x, F.lit(BULLETS)))
+
+
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def entities(c: Column, most: int = 5) -> Column:
     """Capitalised words (one or two), versions and acronyms in this order, each once whatever
     its case, at most ``most``."""
-    words = F.regexp_extract_all(c, F.lit(r"(?U)\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\b"), 1)
-    versions = F.regexp_extract_all(c, F.lit(r"(?U)\b(v\d+\.\d+(?:\.\d+)?)\b"), 1)
-    acronyms = F.regexp_extract_all(c, F.lit(r"(?U)\b([A-Z]{2,5})\b"), 1)
+    all_of = lambda p: F.regexp_extract_all(c, F.lit(f"(?U){p}"), 1)
     found = F.concat(
-        F.filter(words, lambda w: ~w.isin(*NO_ENTITY)), versions, F.filter(acronyms, lambda w: ~w.isin(*NO_ACRONYM))
+        F.filter(all_of(CAPITALISED), lambda w: ~w.isin(*NO_ENTITY)), all_of(VERSION), F.filter(all_of(ACRONYM), lambda w: ~w.isin(*NO_ACRONYM))
     )
-    lower = F.transform(found, F.lower)
-    return F.slice(F.filter(found, lambda w, i: F.array_position(lower, F.lower(w)) == i + 1), 1, most)
+    first = lambda f, low: F.slice(F.filter(f, lambda w, i: F.array_position(low, F.lower(w)) == i + 1), 1, most)
+    return _once(found, lambda f: _once(F.transform(f, F.lower), lambda low: first(f, low)))
+
+
+@F.pandas_udf(T.DoubleType())
+def _rounded(x: pd.Series, digits: pd.Series) -> pd.Series:
+    return pd.Series([None if v is None or v != v else round(v, int(d)) for v, d in zip(x, digits)], dtype="float64")
+
+
+def exact_round(c: Column, digits: int) -> Column:
+    """Rounding by the exact binary value, ties to even, where Spark's round goes by the decimal
+    one: 0.01875 has no exact form and becomes 0.0187.  An Arrow function, for comparisons only."""
+    return _rounded(c.cast("double"), F.lit(digits))
 
 
 def short_hash(c: Column) -> Column:
@@ -145,7 +171,7 @@ def secret_count(c: Column, kind: str) -> Column:
 
 def note_date(file_name: Column) -> Column:
     """Date of ``YYYY-MM-DD[-suffix].md``, null for other names and impossible dates."""
-    return F.try_to_date(F.regexp_extract(file_name, r"\A(\d{4}-\d{2}-\d{2})(?:-.+)?\.md\z", 1), "yyyy-MM-dd")
+    return F.try_to_date(F.regexp_extract(file_name, NOTE_NAME, 1), "yyyy-MM-dd")
 
 
 def category_of_file(file_name: Column) -> Column:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as fx
 from lodestone.operators.items import LEAST, PROMOTE, note_lines
+from lodestone.session import cut
 from lodestone.sources.notes import MEMORY_FILE
 
 STALE = 0.15
+# How many promotions, stale items, duplicates and clusters a report names.
+MOST_PROMOTIONS, MOST_STALE, MOST_DUPLICATES, MOST_CLUSTERS = 20, 10, 10, 10
+#: Promotions that are looked for in one pass over MEMORY.md; more are joined.
+PROBES = 1_000
 
 
 def advisor_lines(notes: DataFrame, as_of: Column | None = None, days: int | None = None) -> DataFrame:
@@ -67,45 +72,66 @@ def summary_of(cluster_text: Column, summary: Column | None = None) -> Column:
     return start if summary is None else F.coalesce(F.nullif(summary, F.lit("")), start)
 
 
-def duplicates(lines: DataFrame) -> DataFrame:
-    """(text, source1, source2, date1, date2): each later line of a key whose first occurrence
-    stands in another file.  The first occurrence comes from an aggregation and is joined."""
-    keyed = lines.withColumn("key", fx.cluster_key(F.col("text")))
+def _repeats(lines: DataFrame) -> DataFrame:
+    """Each later line of a key whose first occurrence stands in another file, with its place.
+
+    The notes are parsed once: lines with their keys are cut, the first of each key comes from an
+    aggregation, which combines before it shuffles, and is joined.
+    """
+    keyed = cut(lines.withColumn("key", fx.cluster_key(F.col("text"))).select("key", "source", "day", "chunk", "part", "line", "text"))
     first = keyed.groupBy("key").agg(F.min(F.struct(_place().alias("p"), "source", "day")).alias("f"))
-    return keyed.join(first, "key").where(F.col("source") != F.col("f.source")).select(
+    return keyed.join(first, "key").where(F.col("source") != F.col("f.source")).withColumn("place", _place())
+
+
+def duplicates(lines: DataFrame, n: int | None = None) -> DataFrame:
+    """(text, source1, source2, date1, date2): each later line of a key whose first occurrence
+    stands in another file; with ``n``, the first of them by file and line."""
+    found = _repeats(lines)
+    found = found if n is None else found.orderBy("place").limit(n)
+    return found.select(
         F.substring("text", 1, 100).alias("text"), F.col("f.source").alias("source1"), F.col("source").alias("source2"),
         F.col("f.day").alias("date1"), F.col("day").alias("date2"),
     )
 
 
-def advisor_promotions(scored: DataFrame) -> DataFrame:
-    """Promotions of the advisor: the best item of each cluster key, not from MEMORY.md."""
+def advisor_promotions(scored: DataFrame, n: int | None = MOST_PROMOTIONS) -> DataFrame:
+    """Promotions of the advisor: the best item of each cluster key, not from MEMORY.md, the best
+    ``n`` of them (all for None)."""
     order = F.struct((-F.col("score")).alias("s"), "text_key")
-    row = F.struct("text", "score", "category", "source", "day", "frequency")
-    return (
+    row = F.struct("text", "score", "category", "source", "day", "frequency", "text_key")
+    best = (
         scored.where((F.col("score") >= PROMOTE) & (F.col("source") != MEMORY_FILE))
         .withColumn("key", fx.cluster_key(F.col("text")))
         .groupBy("key")
         .agg(F.min_by(row, order).alias("x"))
         .select("x.*")
     )
+    return (best if n is None else best.orderBy(F.desc("score"), "text_key").limit(n)).drop("text_key")
 
 
-def stale_items(scored: DataFrame) -> DataFrame:
-    return scored.where((F.col("source") == MEMORY_FILE) & (F.col("score") < STALE)).select("text", "score", "category")
+def stale_items(scored: DataFrame, threshold: float = STALE, n: int | None = MOST_STALE) -> DataFrame:
+    """Items of MEMORY.md that score below the threshold, the first ``n`` by score (all for None)."""
+    found = scored.where((F.col("source") == MEMORY_FILE) & (F.col("score") < threshold))
+    return (found if n is None else found.orderBy(F.desc("score"), "text_key").limit(n)).select("text", "score", "category")
 
 
-def promotion_plan(promoted: DataFrame, memory: DataFrame) -> DataFrame:
+def promotion_plan(promoted: DataFrame, memory: DataFrame, most: int = PROBES) -> DataFrame:
     """Promotions whose first 50 characters stand nowhere in MEMORY.md, whatever the case.
 
-    ``memory`` holds its chunks (content).  They are matched by their windows of the lengths that
-    occur, which are 51 at most, so the join is an equi-join and neither side is collected.
+    ``memory`` holds its chunks (content).  As many promotions as the advisor gives are looked for
+    in one pass over the chunks; more than ``most`` are joined to the windows of the lengths that
+    occur, which are 51 at most, so that neither side is collected.
     """
     probes = promoted.withColumn("probe", F.lower(F.substring("text", 1, 50))).withColumn("n", F.length("probe"))
+    few = [r.probe for r in probes.select("probe").where("probe is not null").distinct().limit(most + 1).collect()]
+    lower = memory.where("content is not null").select(F.lower("content").alias("c"))
+    if len(few) <= most:
+        wanted = F.array(*map(F.lit, few)).cast("array<string>")
+        held = lower.select(F.explode(F.filter(wanted, lambda p: F.contains(F.col("c"), p))).alias("probe")).distinct()
+        return probes.join(held, "probe", "left_anti").drop("n", "probe")
     sizes = [r.n for r in probes.select("n").where("n is not null").distinct().collect()]
     windows = (
-        memory.where("content is not null")
-        .select(F.lower("content").alias("c"), F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("n"))
+        lower.select("c", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("n"))
         .where(F.length("c") >= F.col("n"))
         .select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("c") - F.col("n") + 1), lambda i: F.substring(F.col("c"), i, F.col("n")))).alias("probe"))
     )
@@ -122,3 +148,36 @@ def recommendations(clusters_n: Column, promotions_n: Column, stale_n: Column, d
     )
     found = F.filter(found, lambda x: x.isNotNull())
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("healthy")))
+
+
+def report(lines: DataFrame, scored: DataFrame) -> DataFrame:
+    """One row: counts, the clusters, promotions, stale items and duplicates a report names, and
+    the recommendations that follow.  Lines and scores are computed once."""
+    lines, scored = cut(lines), cut(scored)
+    one = lambda df: df.withColumn("one", F.lit(1))
+    listed = lambda df, name, *by: one(df.agg(F.sort_array(F.collect_list(F.struct(*by, *(c for c in df.columns if c not in by)))).alias(name)))
+    found = cut(clusters(lines))
+    action = (F.lit("merge").alias("suggested_action"), F.lit("MEMORY.md (relevant section)").alias("suggested_target"))
+    named = found.orderBy(F.desc("date_count"), "first").limit(MOST_CLUSTERS).select(
+        (-F.col("date_count")).alias("order"), "first", "key", summary_of(F.col("sample_text")).alias("summary"), "date_count", "dates", "sources", "sample_text", *action
+    )
+    row = (
+        one(lines.agg(F.count("*").alias("notes_analyzed"), F.count_distinct("source").alias("files_analyzed")))
+        .join(one(found.agg(F.count("*").alias("clusters_found"))), "one")
+        .join(listed(named, "clusters", "order", "first"), "one")
+        .join(listed(advisor_promotions(scored), "promotions", "text"), "one")
+        .join(listed(stale_items(scored), "stale_items", "text"), "one")
+        .join(listed(duplicates(lines, MOST_DUPLICATES), "duplicates", "source2"), "one")
+    )
+    row = row.withColumns({f"{c}_found": F.size(c) for c in ("promotions", "stale_items", "duplicates")})
+    return row.withColumn("recommendations", recommendations(*(F.col(f"{c}_found") for c in ("clusters", "promotions", "stale_items", "duplicates")))).drop("one")
+
+
+def cluster_items(lines: DataFrame, clusters: DataFrame, most: int = 5, items: int = 5) -> DataFrame:
+    """(key, texts): the first ``items`` lines of each of the first ``most`` clusters, secrets
+    redacted: what a summary is made from."""
+    few = clusters.orderBy(F.desc("date_count"), "first").limit(most).select("key")
+    mine = lines.withColumn("key", fx.cluster_key(F.col("text"))).join(F.broadcast(few), "key")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(_place()))
+    top = mine.withColumn("r", rank).where(F.col("r") <= items)
+    return top.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("r", fx.redact_secrets(F.col("text")).alias("t")))).alias("x")).select("key", F.col("x.t").alias("texts"))

@@ -39,15 +39,43 @@ def size_check(files: DataFrame, name: str, content: str, limit: int = SIZE_LIMI
     )
 
 
+def section_lines(files: DataFrame, name: str, content: str) -> DataFrame:
+    """(name, section, lines): the lines below each header as an array, without the header; of a
+    repeated header the last one counts.  What stands before the first is ``Header``."""
+    parts = F.split(F.col(content), r"(?<=\n)(?=## )")
+    rows = files.where(F.col(content).isNotNull()).select(F.col(name).alias("name"), F.size(parts).alias("n"), F.posexplode(parts).alias("i", "part"))
+    headed = F.col("part").startswith("## ")
+    # the newline before the next header is no line of its own
+    body = F.split(F.when(F.col("i") < F.col("n") - 1, F.regexp_replace("part", r"\n\z", "")).otherwise(F.col("part")), "\n")
+    section = F.when(headed, F.regexp_replace(body[0], r"(?U)\A\s+|\s+\z", "")).otherwise("Header")
+    kept = F.when(headed, F.slice(body, 2, F.size(body))).otherwise(body)
+    # text that begins with a header has an empty first section
+    opening = rows.where((F.col("i") == 0) & headed).select("name", F.lit("Header").alias("section"), F.lit(-1).alias("i"), F.array().cast("array<string>").alias("lines"))
+    return rows.select("name", section.alias("section"), "i", kept.alias("lines")).unionByName(opening).groupBy("name", "section").agg(F.max_by("lines", "i").alias("lines"))
+
+
 def note_ages(notes: DataFrame, as_of: Column, limit: int = NOTE_AGE) -> DataFrame:
-    """One row over dated notes (source, day): totals, stale ones, newest and oldest."""
+    """One row over dated notes (source, day): totals, stale ones, newest and oldest with their ages."""
     age = F.datediff(as_of, F.col("day"))
     return notes.agg(
         F.count("*").alias("total_notes"), F.count_if(age > limit).alias("stale_notes"),
-        F.max("day").alias("newest"), F.min("day").alias("oldest"),
+        F.max("day").alias("newest"), F.min("day").alias("oldest"), F.min(age).alias("newest_age"), F.max(age).alias("oldest_age"),
     )
 
 
+def stale_notes(notes: DataFrame, as_of: Column, n: int | None = 5, limit: int = NOTE_AGE) -> DataFrame:
+    """(source, day, age_days) of the notes older than ``limit`` days, the oldest ``n`` (all for None)."""
+    aged = notes.select("source", "day", F.datediff(as_of, F.col("day")).alias("age_days")).where(F.col("age_days") > limit).orderBy("day", "source")
+    return aged if n is None else aged.limit(n)
+
+
+def flat_archive_plan(notes: DataFrame, as_of: Column, days: int = NOTE_AGE) -> DataFrame:
+    """(source, destination): notes named by nothing but their date and older by it than ``days``,
+    into one archive folder: what a repair moves, beside the plan by age of the file."""
+    plain = F.col("source").rlike(r"\A\d{4}-\d{2}-\d{2}\.md\z")
+    return notes.where(plain & (F.datediff(as_of, F.col("day")) > days)).select("source", F.concat(F.lit("archive/"), "source").alias("destination")).orderBy("source")
+
+
 def archive_plan(notes: DataFrame, as_of: Column, days: int = ARCHIVE_AGE, existing: DataFrame | None = None) -> DataFrame:
     """(source, mtime, destination) of dated notes not touched for ``days`` days, oldest first.
 
@@ -73,14 +101,15 @@ def aging_facts(texts: DataFrame, content: str) -> DataFrame:
     return texts.select(F.explode(kinds).alias("x")).groupBy("x.type", "x.reported").agg(F.sum("x.k").alias("n"))
 
 
-def aging_contexts(texts: DataFrame, key: str, content: str, around: int = 40) -> DataFrame:
-    """(key, type, context): reported facts with ``around`` characters on both sides, stripped.
+def aging_contexts(texts: DataFrame, key: str, content: str, around: int = 40, unreported: bool = False) -> DataFrame:
+    """(key, type, context): reported facts (with ``unreported``, the others too) with ``around``
+    characters on both sides, stripped.
 
     Offsets follow from the lengths of what lies between the matches, so contexts may overlap.
     """
     out = None
     for kind, pattern, reported in AGING:
-        if not reported:
+        if not (reported or unreported):
             continue
         rx = f"(?iU){pattern}"
         found = F.regexp_extract_all(content, F.lit(rx), 0)
@@ -148,3 +177,29 @@ def index_status(output: Column) -> tuple[Column, Column]:
     parts = F.flatten(F.transform(lines, lambda x: F.transform(F.split(x, "·"), lambda p: F.regexp_replace(p, r"(?U)\A\s+|\s+\z", ""))))
     last = lambda word: F.coalesce(F.try_element_at(F.filter(parts, lambda p: p.contains(word)), F.lit(-1)), F.lit("N/A"))
     return last("files"), last("chunks")
+
+
+def drift_now(files: DataFrame, content: str, create_lines: DataFrame, history: DataFrame) -> DataFrame:
+    """One row: the state now (characters of ``files``, creating lines of the log) against the last run.
+
+    The log's lines are compared with the entities of that run, as a check of the workspace does,
+    so a repeated creation counts as a change.  Without a run the last check and changes are null.
+    """
+    size = files.agg(F.coalesce(F.sum(F.length(content)), F.lit(0)).alias("size"))
+    last = runs(history).agg(F.max("day").alias("last_check"), F.max_by("size_bytes", "day").alias("s"), F.max_by("total_entities", "day").alias("e"))
+    one = lambda df: df.withColumn("one", F.lit(1))
+    return one(size).join(one(create_lines), "one").join(one(last), "one").select(
+        "last_check", (F.col("size") - F.col("s")).alias("memory_size_change"), (F.col("create_lines") - F.col("e")).alias("entity_count_change")
+    )
+
+
+def report(sizes: DataFrame, ontology: DataFrame, ages: DataFrame, facts: DataFrame, drift: DataFrame, limit: int = SIZE_LIMIT) -> DataFrame:
+    """One row of all checks; each frame but ``facts`` has one row, and each status is ok or warning."""
+    one = lambda df: df.withColumn("one", F.lit(1))
+    status = lambda bad: F.when(bad, "warning").otherwise("ok")
+    row = one(sizes).join(one(ontology), "one").join(one(ages), "one").join(one(drift), "one")
+    row = row.join(one(facts.agg(F.sum(F.when(F.col("reported"), F.col("n")).otherwise(0)).alias("stale_facts"))), "one").drop("one")
+    return row.withColumns({
+        "memory_status": status(F.col("size_chars") > limit), "ontology_status": status(F.col("orphan_relations") > 0),
+        "notes_status": status(F.col("stale_notes") > 0), "decay_status": status(F.col("stale_facts") > 0),
+    })

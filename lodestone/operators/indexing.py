@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as fx
 from lodestone.operators import chunks
 from lodestone.sources import notes as ns
+from lodestone.sources.guards import inside
 
 MEMORY_COLUMNS = ("id", "content", "category", "layer", "source", "score", "created_at", "updated_at", "superseded_by")
 LABELS = ("category", "layer", "source", "score")
@@ -60,26 +62,57 @@ def index_directory(files: DataFrame, at: Column, category: str = GENERAL, layer
     return memory_rows(rows, at)
 
 
-def embed(memories: DataFrame, make_client: Callable[[], Callable[[str], list[float]]], retries: int = 3, most: int = chunks.CHUNK) -> DataFrame:
+def add_file(spark: SparkSession, path: str, workspace: str, at: Column, category: str = GENERAL, layer: str = EPISODIC) -> DataFrame:
+    """Memories of one file of the workspace, to append to the store; a path outside is refused."""
+    files = ns.read_files(spark, inside(workspace, path), glob="*")
+    return index_directory(files, at, category, layer)
+
+
+class Busy(Exception):
+    """Raised by a client that asks to be called again later."""
+
+
+def _called(call: Callable, retries: int, wait: float, busy: float):
+    """call, repeated ``retries`` times with pauses, longer ones where the client is busy; then None."""
+
+    def one(x):
+        for n in range(retries):
+            try:
+                return call(x)
+            except Busy:
+                pause = busy
+            except Exception:  # noqa: BLE001
+                pause = wait
+            if n < retries - 1:
+                time.sleep(pause)
+        return None
+
+    return one
+
+
+def embed(memories: DataFrame, make_client: Callable[[], Callable[[str], list[float]]], retries: int = 3, most: int = chunks.CHUNK, wait: float = 1, busy: float = 5) -> DataFrame:
     """(id, embedding) from a client made once per task; it gets ``most`` characters of a content.
 
-    A call that fails is repeated; after ``retries`` failures the embedding is null, so that one
-    text doesn't end the job.
+    A call that fails is repeated after ``wait`` seconds, after ``busy`` where it raised Busy; after
+    ``retries`` failures the embedding is null, so that one text doesn't end the job.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = make_client()
-
-        def one(text: str) -> list[float] | None:
-            for _ in range(retries):
-                try:
-                    return client(text)
-                except Exception:  # noqa: BLE001
-                    continue
-            return None
-
+        one = _called(make_client(), retries, wait, busy)
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "embedding": [one(t) for t in batch["t"]]})
 
     source = memories.where("content is not null").select("id", F.substring("content", 1, most).alias("t"))
     return source.mapInPandas(run, "id bigint, embedding array<float>")
+
+
+def summarise(texts: DataFrame, make_client: Callable[[], Callable[[list[str]], str]], retries: int = 1, wait: float = 1, busy: float = 5) -> DataFrame:
+    """(key, summary) of the clusters' (key, texts) from a client; null where it fails, so that the
+    sample's beginning stands in (consolidate.summary_of)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one = _called(make_client(), retries, wait, busy)
+        for batch in batches:
+            yield pd.DataFrame({"key": batch["key"], "summary": [one(list(t)) for t in batch["texts"]]})
+
+    return texts.select("key", "texts").mapInPandas(run, "key string, summary string")

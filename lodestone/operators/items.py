@@ -67,11 +67,14 @@ def ranked(scored: DataFrame, n: int | None = None) -> DataFrame:
     return order.limit(n) if n else order
 
 
+def _public(*left_out: str) -> list[Column]:
+    columns = {"hash": fx.short_hash(F.col("text")), "score": F.col("score"), "category": F.col("category"), "source": F.col("source"), "date": F.col("day").cast("string"), "frequency": F.col("frequency")}
+    return [c.alias(name) for name, c in columns.items() if name not in left_out]
+
+
 def public(scored: DataFrame) -> DataFrame:
     """What may leave the workspace: a hash in place of the text."""
-    return scored.select(
-        fx.short_hash(F.col("text")).alias("hash"), "score", "category", "source", F.col("day").cast("string").alias("date"), "frequency"
-    )
+    return scored.select(*_public())
 
 
 def promotions(scored: DataFrame) -> DataFrame:
@@ -82,6 +85,30 @@ def archive_candidates(scored: DataFrame) -> DataFrame:
     return scored.where(F.col("score") < ARCHIVE)
 
 
+def report(scored: DataFrame, previous_total: int | None = None) -> DataFrame:
+    """One row: what the scores follow from, totals, items per category, and the first 50 items, 20
+    promotions and 20 archive candidates, by score."""
+    one = lambda df: df.withColumn("one", F.lit(1))
+
+    def first(df: DataFrame, name: str, n: int, *left_out: str) -> DataFrame:
+        top = ranked(df, n).select((-F.col("score")).alias("o"), "text_key", F.struct(*_public(*left_out)).alias("x"))
+        rows = F.sort_array(F.collect_list(F.struct("o", "text_key", "x")))
+        return one(top.agg(F.transform(rows, lambda r: r["x"]).alias(name)))
+
+    config = F.struct(
+        F.lit(fx.HALF_LIFE_DAYS).alias("half_life_days"), F.lit(fx.SCORE_CAP).alias("max_score"),
+        F.create_map(*(F.lit(x) for pair in fx.CATEGORY_WEIGHTS.items() for x in pair)).alias("category_weights"),
+        F.lit(1 + fx.FREQUENCY_STEP).alias("frequency_boost_base"), F.lit(PROMOTE).alias("promote_threshold"), F.lit(ARCHIVE).alias("archive_threshold"),
+    )
+    kinds = scored.groupBy("category").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("category", "n"))).alias("category_distribution"))
+    return (
+        one(score_stats(scored, previous_total)).join(one(kinds), "one")
+        .join(first(scored, "top_items", 50), "one").join(first(promotions(scored), "promoted", 20), "one")
+        .join(first(archive_candidates(scored), "archive", 20, "category", "frequency"), "one")
+        .withColumn("config", config).drop("one")
+    )
+
+
 def score_stats(scored: DataFrame, previous_total: int | None = None) -> DataFrame:
     """One row of totals, also for no items; delta is null without an earlier run."""
     delta = F.lit(None).cast("bigint") if previous_total is None else F.count("*") - F.lit(previous_total)

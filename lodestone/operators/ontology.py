@@ -74,6 +74,11 @@ def totals(log: DataFrame) -> DataFrame:
     return counts.withColumn("one", F.lit(1)).join(orphan.withColumn("one", F.lit(1)), "one").drop("one")
 
 
+def sound_lines(log: DataFrame) -> DataFrame:
+    """line_no of the lines that can be read."""
+    return _lines(log).select(F.col("seq").alias("line_no"))
+
+
 def dedup_lines(log: DataFrame) -> DataFrame:
     """line_no of the lines a repair keeps: sound ones, and of those naming an entity the first per
     entity, whatever its op (later updates of it are lost: the repair is lossy)."""

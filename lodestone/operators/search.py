@@ -1,7 +1,8 @@
 """Lexical, vector and hybrid search over memories.
 
 Every ranking ends in the id, so ties have one order.  Lists are cut to a pool by top-k before
-they meet; all that follows works on at most two pools of rows.
+they meet; all that follows works on at most two pools of rows, which is what is broadcast.  A search
+reads the memories once to rank them and once for the details of its pools.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.session import cut
+
 K1, B = 1.2, 0.75
 RRF_K, NOISE_FLOOR = 60, 0.015
 
@@ -34,6 +37,7 @@ def tokens(c: Column) -> Column:
 
 def query_phrases(query: str) -> list[list[str]]:
     """Each blank-separated term, without operators and the word NEAR, as a phrase of tokens."""
+    # Fixed value: the characters and the word that are operators of a query
     cleaned = re.sub(r'["*()+\-:\[\]{}^~/=!@#]', " ", query)
     cleaned = re.sub(r"\bNEAR\b", " ", cleaned, flags=re.I)
     plain = lambda t: "".join(ch for ch in unicodedata.normalize("NFD", t) if not unicodedata.combining(ch)).lower()
@@ -55,37 +59,57 @@ def one_per_id(memories: DataFrame) -> DataFrame:
     return memories.where(F.col("id").isNotNull()).dropDuplicates(["id"])
 
 
-def lexical_search(memories: DataFrame, query: str, limit: int) -> DataFrame:
-    """(id, source, bm25, lex_rank): memories that hold every phrase, lowest score first.
+LEXICAL = "query string, id bigint, source string, bm25 double, lex_rank int"
+
 
-    A query without a token gives no rows, as does an empty table; null contents hold nothing.
+def lexical_many(memories: DataFrame, queries: list[str], limit: int) -> DataFrame:
+    """(query, id, source, bm25, lex_rank): for each query the memories that hold every phrase of
+    it, lowest score first.
+
+    One pass over the memories counts all phrases; only counts are deduplicated and kept.  A query
+    without a token gives no rows, as does an empty table; null contents hold nothing.
     """
     spark = memories.sparkSession
-    phrases = query_phrases(query)
-    empty = spark.createDataFrame([], "id bigint, source string, bm25 double, lex_rank int")
+    wanted = {q: query_phrases(q) for q in dict.fromkeys(queries)}
+    phrases = list(dict.fromkeys(tuple(p) for q in wanted.values() for p in q))
+    empty = spark.createDataFrame([], LEXICAL)
     if not phrases:
         return empty
-    tf = [f"tf{i}" for i in range(len(phrases))]
-    counted = one_per_id(memories).where("content is not null").select("id", "source", tokens(F.col("content")).alias("t"))
-    counted = counted.select("id", "source", F.size("t").alias("len"), *(_tf(F.col("t"), p).alias(n) for n, p in zip(tf, phrases)))
-    stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *(F.count_if(F.col(n) > 0).alias(n) for n in tf)).first()
+    tf = {p: f"tf{i}" for i, p in enumerate(phrases)}
+    counted = memories.where("id is not null and content is not null").select("id", "source", tokens(F.col("content")).alias("t"))
+    counted = counted.select("id", "source", F.size("t").alias("len"), *(_tf(F.col("t"), list(p)).alias(n) for p, n in tf.items()))
+    counted = cut(counted.dropDuplicates(["id"]))  # rows of one id are equal
+    stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *(F.count_if(F.col(n) > 0).alias(n) for n in tf.values())).first()
     if not stats.n or not stats.avg:
         return empty
-    score = F.lit(0.0)
-    for name in tf:
-        df = stats[name]
-        idf = float(np.log((stats.n - df + 0.5) / (df + 0.5)))
-        f = F.col(name).cast("double")
-        score = score - F.lit(idf if idf > 0 else 1e-6) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.lit(stats.avg)))
-    hits = counted
-    for name in tf:
-        hits = hits.where(F.col(name) > 0)
-    hits = hits.select("id", "source", score.alias("bm25")).orderBy("bm25", "id").limit(limit)
-    return hits.withColumn("lex_rank", F.row_number().over(Window.orderBy("bm25", "id")))
-
-
-def _distances(query: np.ndarray, metric: str):
+    out = None
+    for query, own in wanted.items():
+        if not own:
+            continue
+        score, held = F.lit(0.0), F.lit(True)
+        for p in own:
+            name = tf[tuple(p)]
+            df = stats[name]
+            idf = float(np.log((stats.n - df + 0.5) / (df + 0.5)))
+            f = F.col(name).cast("double")
+            score = score - F.lit(idf if idf > 0 else 1e-6) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.lit(stats.avg)))
+            held = held & (F.col(name) > 0)
+        hits = counted.where(held).select(F.lit(query).alias("query"), "id", "source", score.alias("bm25")).orderBy("bm25", "id").limit(limit)
+        hits = hits.withColumn("lex_rank", F.row_number().over(Window.orderBy("bm25", "id")))
+        out = hits if out is None else out.unionByName(hits)
+    return out if out is not None else empty
+
+
+def lexical_search(memories: DataFrame, query: str, limit: int) -> DataFrame:
+    """(id, source, bm25, lex_rank) of one query; see lexical_many."""
+    return lexical_many(memories, [query], limit).drop("query")
+
+
+def _distances(query: np.ndarray, metric: str, limit: int):
+    """The ``limit`` nearest ids of a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, best = np.zeros(0, np.int64), np.zeros(0)
         for batch in batches:
             v = batch.column(1)
             offsets = v.offsets.to_numpy()
@@ -98,25 +122,45 @@ def _distances(query: np.ndarray, metric: str):
                 d = np.sqrt(((x - query) ** 2).sum(1))
             else:
                 d = 1 - (x @ query) / (np.sqrt((x * x).sum(1)) * np.sqrt(query @ query))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok)), pa.array(d)], names=["id", "distance"])
+            ids, best = np.concatenate([ids, batch.column(0).to_numpy(zero_copy_only=False)[ok]]), np.concatenate([best, d])
+            order = np.lexsort((ids, np.round(best, 9)))
+            order = order[np.sort(np.unique(ids[order], return_index=True)[1])][:limit]  # an id once
+            ids, best = ids[order], best[order]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(best)], names=["id", "distance"])
 
     return run
 
 
-def vector_search(vectors: DataFrame, memories: DataFrame, query: list[float], limit: int, metric: str = "l2") -> DataFrame:
-    """(id, source, distance, vec_rank): the memories nearest to the query vector (l2 or cosine).
+def nearest_ids(vectors: DataFrame, query: list[float], limit: int, metric: str = "l2") -> DataFrame:
+    """(id, distance) of the ``limit`` vectors nearest to the query vector (l2 or cosine).
 
-    Unusable vectors (null, other length, NaN, all zero) and those of no memory are left out
-    before the limit; only (id, distance) is joined, never a vector.
+    Unusable vectors (null, other length, NaN, all zero) and null ids are left out.  Each task
+    sends on its best ``limit`` only.
     """
     q = np.array(query, np.float64)
-    near = vectors.where("id is not null").select("id", F.col("embedding").cast("array<float>")).mapInArrow(_distances(q, metric), "id bigint, distance double")
-    near = near.groupBy("id").agg(F.min("distance").alias("distance"))
-    held = memories.where("id is not null").groupBy("id").agg(F.first("source").alias("source"))
-    top = near.join(held, "id").select("id", "source", "distance").orderBy(F.round("distance", 9), "id").limit(limit)
+    near = vectors.where("id is not null").select("id", F.col("embedding").cast("array<float>"))
+    near = near.mapInArrow(_distances(q, metric, limit), "id bigint, distance double")
+    return near.groupBy("id").agg(F.min("distance").alias("distance")).orderBy(F.round("distance", 9), "id").limit(limit)
+
+
+def details_of(pool: DataFrame, memories: DataFrame, *columns: str) -> DataFrame:
+    """(id, columns) of the memories of a pool of ids, each once; the pool is small and broadcast."""
+    held = memories.where("id is not null").join(F.broadcast(pool.select("id").distinct()), "id", "left_semi")
+    return held.groupBy("id").agg(F.max(F.struct(*columns)).alias("m")).select("id", "m.*")
+
+
+def _ranked(near: DataFrame, details: DataFrame) -> DataFrame:
+    top = near.join(F.broadcast(details.select("id", "source")), "id").select("id", "source", "distance")
     return top.withColumn("vec_rank", F.row_number().over(Window.orderBy(F.round("distance", 9), "id")))
 
 
+def vector_search(vectors: DataFrame, memories: DataFrame, query: list[float], limit: int, metric: str = "l2") -> DataFrame:
+    """(id, source, distance, vec_rank): the memories of the ``limit`` nearest vectors.  A vector
+    without a memory takes a place among the nearest and then has no row."""
+    near = cut(nearest_ids(vectors, query, limit, metric))
+    return _ranked(near, details_of(near, memories, "source"))
+
+
 def query_vector(vectors: DataFrame, hits: DataFrame) -> list[float] | None:
     """The vector of the best lexical hit that has a usable one: a stand-in for an embedding model."""
     ranks = {r.id: r.lex_rank for r in hits.select("id", "lex_rank").collect()}  # at most a pool
@@ -138,8 +182,7 @@ def fuse(lexical: DataFrame, vector: DataFrame, floor: float = NOISE_FLOOR) -> D
 
 def boost(fused: DataFrame, memories: DataFrame) -> DataFrame:
     """Adds ``boosted``: rrf * (1 + score / 10), the score relative to the best among the fused."""
-    scores = memories.where("id is not null").groupBy("id").agg(F.max("score").alias("score"))
-    joined = fused.join(scores, "id", "left")
+    joined = fused.join(details_of(fused, memories, "score"), "id", "left")
     most = F.coalesce(F.nullif(F.max("score").over(Window.partitionBy()), F.lit(0.0)), F.lit(1.0))  # at most two pools of rows
     return joined.withColumn("boosted", F.col("rrf") * (1 + 0.1 * F.coalesce("score", F.lit(0.0)) / most)).drop("score")
 
@@ -147,29 +190,35 @@ def boost(fused: DataFrame, memories: DataFrame) -> DataFrame:
 def best_per_source(fused: DataFrame) -> DataFrame:
     """The best row of each source; rows without a source all stay."""
     rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("rrf"), "id"))
-    named = fused.where("source <> ''").withColumn("r", rank).where("r = 1").drop("r")
-    return named.unionByName(fused.where("source is null or source = ''"))
+    return fused.withColumn("r", rank).where("r = 1 or source is null or source = ''").drop("r")
 
 
-def hybrid_search(memories: DataFrame, vectors: DataFrame, query: str, limit: int = 10, vector: list[float] | None = None, metric: str = "l2", dedup: bool = True, floor: float = NOISE_FLOOR) -> DataFrame:
-    """The ``limit`` best memories by fused rank, best first (the boost doesn't reorder)."""
+def hybrid_search(
+    memories: DataFrame, vectors: DataFrame, query: str, limit: int = 10, vector: list[float] | None = None,
+    metric: str = "l2", dedup: bool = True, floor: float = NOISE_FLOOR, details: tuple[str, ...] = (),
+) -> DataFrame:
+    """The ``limit`` best memories by fused rank, best first (the boost doesn't reorder), with the
+    columns of ``details`` of each."""
     pool = max(4 * limit, 20)
     lexical = lexical_search(memories, query, pool)
     vector = vector or query_vector(vectors, lexical)
     if vector is None:
-        near = memories.sparkSession.createDataFrame([], "id bigint, source string, distance double, vec_rank int")
+        near = memories.sparkSession.createDataFrame([], "id bigint, distance double")
     else:
-        near = vector_search(vectors, memories, vector, pool, metric)
-    fused = boost(fuse(lexical, near, floor), memories)
-    return (best_per_source(fused) if dedup else fused).orderBy(F.desc("rrf"), "id").limit(limit)
+        near = nearest_ids(vectors, vector, pool, metric)
+    both = cut(lexical.select("id", "lex_rank", F.lit(None).cast("double").alias("distance")).unionByName(near.withColumn("lex_rank", F.lit(None).cast("int"))))
+    known = cut(details_of(both, memories, "source", "score", *details))  # at most two pools
+    near = _ranked(both.where("distance is not null").select("id", "distance"), known)
+    lexical = both.where("lex_rank is not null").join(F.broadcast(known.select("id", "source")), "id").select("id", "source", "lex_rank")
+    fused = boost(fuse(lexical, near, floor), known)
+    found = (best_per_source(fused) if dedup else fused).orderBy(F.desc("rrf"), "id").limit(limit)
+    return found.join(F.broadcast(known.select("id", *details)), "id").orderBy(F.desc("rrf"), "id") if details else found
 
 
 def with_details(found: DataFrame, memories: DataFrame, most: int = 300) -> DataFrame:
-    """Adds the first ``most`` characters of the content, the category and the layer to a result."""
-    details = memories.where("id is not null").groupBy("id").agg(F.max(F.struct("content", "category", "layer")).alias("m"))
-    return found.join(details, "id", "left").withColumn("content", F.substring("m.content", 1, most)).withColumn("category", F.col("m.category")).withColumn(
-        "layer", F.col("m.layer")
-    ).drop("m")
+    """Adds the first ``most`` characters of the content, the category and the layer to a result:
+    300 in results, 200 in JSON, 150 on a console."""
+    return found.join(details_of(found, memories, "content", "category", "layer"), "id", "left").withColumn("content", F.substring("content", 1, most))
 
 
 def store_stats(memories: DataFrame, vectors: DataFrame) -> DataFrame:

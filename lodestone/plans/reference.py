@@ -13,6 +13,10 @@ from lodestone.sources import notes as ns
 #: The day all ages are counted from, in place of a clock.
 AS_OF = "2026-06-01"
 QUERY = "silent scheduler"
+# The queries by which the search is tried out.
+TRIED = ("project_alpha", "roadmap planning quarterly", "memory scoring decay temporal", "sample_note_01", "sqlite-vec FTS5 hybrid search", "team leadership coaching session", "knowledge base inbox archive")
+#: More of them: phrases, accents, operators, a word of most memories, none at all.
+MORE = ("silent_scheduler", "résolu MINUTES", "memory", "schicht -geflickt", "hybrid NEAR team", "roadmap team", '"?"')
 _GRAPH = ("line_no", "op", "id", "entity", "relation", "changed_at")
 
 
@@ -29,7 +33,8 @@ def memory_file(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def all_notes(spark, sf):
-    return daily(spark, sf).unionByName(memory_file(spark, sf))
+    """Notes of the items, without those whose name is secret; the advisor reads all daily notes."""
+    return ns.without_secrets(daily(spark, sf), "source").unionByName(memory_file(spark, sf))
 
 
 def all_items(spark, sf):
@@ -149,22 +154,43 @@ def duplicates(spark, sf):
     return found.withColumns({c: F.col(c).cast("string") for c in ("date1", "date2")})
 
 
+def top_duplicates(spark, sf):
+    found = consolidate.duplicates(consolidate.advisor_lines(daily(spark, sf)), consolidate.MOST_DUPLICATES)
+    return found.withColumns({c: F.col(c).cast("string") for c in ("date1", "date2")})
+
+
 def advisor_promotions(spark, sf):
     return _day(consolidate.advisor_promotions(scored(spark, sf)))
 
 
 def stale(spark, sf):
-    return consolidate.stale_items(scored(spark, sf))
+    """The predicate of stale items at a threshold that MEMORY.md's items, which never age, can miss."""
+    return consolidate.stale_items(scored(spark, sf), threshold=2.0, n=None)
 
 
 def recommendations(spark, sf):
-    lines, s = consolidate.advisor_lines(daily(spark, sf)), scored(spark, sf)
-    count = lambda df, name: df.agg(F.count("*").alias(name)).withColumn("one", F.lit(1))
-    row = (
-        count(consolidate.clusters(lines), "c").join(count(consolidate.advisor_promotions(s), "p"), "one")
-        .join(count(consolidate.stale_items(s), "s"), "one").join(count(consolidate.duplicates(lines), "d"), "one")
+    return _report(spark, sf).select(F.explode("recommendations").alias("recommendation"))
+
+
+def _report(spark, sf):
+    return consolidate.report(consolidate.advisor_lines(daily(spark, sf)), scored(spark, sf))
+
+
+def consolidation_report(spark, sf):
+    texts = lambda c, f: F.array_join(F.transform(c, lambda x: x[f]), "|")
+    return _report(spark, sf).select(
+        "notes_analyzed", "files_analyzed", "clusters_found", "promotions_found", "stale_items_found", "duplicates_found",
+        texts("clusters", "summary").alias("clusters"), texts("promotions", "text").alias("promotions"),
+        F.array_join(F.array_sort(F.transform("duplicates", lambda x: x["text"])), "|").alias("duplicates"), F.array_join("recommendations", "|").alias("recommendations"),
     )
-    return row.select(F.explode(consolidate.recommendations(*(F.col(c) for c in "cpsd"))).alias("recommendation"))
+
+
+def scores_report(spark, sf):
+    row = items.report(scored(spark, sf), previous_total=0)
+    listed = lambda c, *more: F.transform(c, lambda x, i: F.struct(F.lit(c).alias("list"), i.alias("place"), x["hash"].alias("hash"), x["score"].alias("score"), x["source"].alias("source"), x["date"].alias("date")))
+    kinds = F.transform(F.map_entries("category_distribution"), lambda x: F.struct(
+        F.lit("category").alias("list"), F.lit(0).alias("place"), x["key"].alias("hash"), x["value"].cast("double").alias("score"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("date")))
+    return row.select(F.explode(F.concat(listed("top_items"), listed("promoted"), listed("archive"), kinds)).alias("x")).select("x.*")
 
 
 def pii_redact(spark, sf):
@@ -217,6 +243,16 @@ def note_hygiene(spark, sf):
     return found.withColumns({c: F.col(c).cast("string") for c in ("newest", "oldest")})
 
 
+def stale_notes(spark, sf):
+    return _day(health.stale_notes(daily(spark, sf), as_of()))
+
+
+def flat_archive_plan(spark, sf):
+    """At the name's first ten characters, for no note of these tables is named by its date alone."""
+    plain = daily(spark, sf).withColumn("source", F.concat(F.substring("source", 1, 10), F.lit(".md"))).dropDuplicates(["source"])
+    return health.flat_archive_plan(plain, as_of())
+
+
 def archive_plan(spark, sf):
     notes = ns.latest_files(table(spark, sf, "daily_notes", "file_name", "mtime", "content")).withColumn("day", fx.note_date(F.col("file_name")))
     notes = notes.where("day is not null").withColumnRenamed("file_name", "source")
@@ -224,11 +260,31 @@ def archive_plan(spark, sf):
 
 
 def stale_facts(spark, sf):
-    return health.aging_facts(search.one_per_id(memories(spark, sf)), "content")
+    return health.aging_facts(memory_file(spark, sf), "content")
+
+
+def aging_contexts(spark, sf):
+    """Contexts of all kinds of facts: those that a check reports do not occur in these tables."""
+    return health.aging_contexts(memory_file(spark, sf), "chunk", "content", unreported=True)
+
+
+def memory_sections(spark, sf):
+    found = health.section_lines(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text")
+    return found.select(F.col("name").alias("doc_id"), "section", F.size("lines").alias("n_lines"), F.md5(F.array_join("lines", "\n")).alias("digest"))
+
 
+def drift_now(spark, sf):
+    found = health.drift_now(memory_file(spark, sf), "content", ontology.totals(graph(spark, sf)).select("create_lines"), table(spark, sf, "health_runs"))
+    return found.withColumn("last_check", F.col("last_check").cast("string"))
 
-def stale_contexts(spark, sf):
-    return health.aging_contexts(search.one_per_id(memories(spark, sf)), "id", "content")
+
+def health_report(spark, sf):
+    memory = memory_file(spark, sf)
+    sizes = memory.agg(F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("size_chars"))
+    totals = ontology.totals(graph(spark, sf))
+    drifted = health.drift_now(memory, "content", totals.select("create_lines"), table(spark, sf, "health_runs"))
+    row = health.report(sizes, totals, health.note_ages(daily(spark, sf), as_of()), health.aging_facts(memory, "content"), drifted)
+    return row.withColumns({c: F.col(c).cast("string") for c in ("newest", "oldest", "last_check")})
 
 
 def drift(spark, sf):
@@ -265,6 +321,10 @@ def lexical_search(spark, sf):
     return search.lexical_search(memories(spark, sf), QUERY, 40).withColumn("bm25", F.round("bm25", 6))
 
 
+def lexical_tried(spark, sf):
+    return search.lexical_many(memories(spark, sf), [*TRIED, *MORE], 20).withColumn("bm25", F.round("bm25", 6))
+
+
 def _vector(spark, sf):
     return search.query_vector(vectors(spark, sf), search.lexical_search(memories(spark, sf), QUERY, 40))
 
@@ -300,8 +360,14 @@ def hybrid_dedup(spark, sf):
 
 
 def hybrid_results(spark, sf):
-    found = search.hybrid_search(memories(spark, sf), vectors(spark, sf), QUERY, 5)
-    return search.with_details(found, memories(spark, sf)).select("id", "source", F.round("rrf", 6).alias("rrf"), "content", "category", "layer")
+    found = search.hybrid_search(memories(spark, sf), vectors(spark, sf), QUERY, 5, details=("content", "category", "layer"))
+    return found.withColumn("content", F.substring("content", 1, 300)).select("id", "source", F.round("rrf", 6).alias("rrf"), "content", "category", "layer")
+
+
+def round_exact(spark, sf):
+    """Rounding of exact binary values: scores halved until they end in a 5 of the next decimal."""
+    one = search.one_per_id(memories(spark, sf)).where("score is not null")
+    return one.select("id", fx.exact_round(F.round(F.col("score") * 32, 0) / 32, 4).alias("rounded"))
 
 
 def index_documents(spark, sf):
@@ -326,10 +392,10 @@ QUERIES = {
     for f in (
         item_extract, noise_filter, category_detect, category_hist, text_key_norm, cluster_key_norm, entity_extract,
         decay_score, freq_boost, item_score, dedup_keep_first, score_topk, score_stats, promotions, archive_candidates,
-        archive_sources, item_hash, clusters, top_clusters, advisor_stats, duplicates, advisor_promotions, stale, recommendations, pii_redact, pii_counts,
+        archive_sources, item_hash, clusters, top_clusters, advisor_stats, duplicates, top_duplicates, consolidation_report, scores_report, advisor_promotions, stale, recommendations, pii_redact, pii_counts,
         promotion_apply_plan, ontology_replay, ontology_entities, ontology_types, ontology_orphans, ontology_totals,
-        ontology_dedup, section_sizes, size_check, note_hygiene, archive_plan, stale_facts, stale_contexts, drift,
-        trend_series, pipeline_status, chunk_docs, chunk_cap, corpus_classes, jsonl_contents, lexical_search, vector_l2,
-        vector_cosine, hybrid_rrf, hybrid_boosted, hybrid_dedup, hybrid_results, index_documents, store_stats, category_breakdown, layer_breakdown,
+        ontology_dedup, section_sizes, size_check, note_hygiene, stale_notes, flat_archive_plan, archive_plan, stale_facts, aging_contexts, memory_sections, drift, drift_now, health_report,
+        trend_series, pipeline_status, chunk_docs, chunk_cap, corpus_classes, jsonl_contents, lexical_search, lexical_tried, vector_l2,
+        vector_cosine, hybrid_rrf, hybrid_boosted, hybrid_dedup, hybrid_results, round_exact, index_documents, store_stats, category_breakdown, layer_breakdown,
     )
 }

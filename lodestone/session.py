@@ -18,6 +18,7 @@ def local_session(cores: int = 8, memory: str = "8g") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -43,7 +44,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of df as files in the shared folder, so that what is lost is read and not redone."""
+    """The rows of df as files in the shared folder, so that what is lost is read and not redone.
+
+    The files go when the frame is no longer referred to, where the session has
+    spark.cleaner.referenceTracking.cleanCheckpoints."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 

@@ -10,22 +10,38 @@ from lodestone.functions import text as fx
 MEMORY_FILE, LOG_FILE = "MEMORY.md", "ontology/graph.jsonl"
 
 
-def read_files(spark: SparkSession, path: str, glob: str = "*.md", recursive: bool = False) -> DataFrame:
-    """(file_path, file_name, mtime, content): one row per text file; unreadable bytes are replaced."""
+def read_files(spark: SparkSession, path: str, glob: str = "*.md", recursive: bool = False, secrets: bool = False) -> DataFrame:
+    """(file_path, file_name, mtime, content): one row per text file; unreadable bytes are replaced.
+
+    Files whose path names a secret are not read, but with ``secrets``."""
     reader = spark.read.format("text").option("wholetext", True).option("pathGlobFilter", glob)
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
-    return reader.load(path).select(
+    files = reader.load(path).select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_modification_time").alias("mtime"),
         F.col("value").alias("content"),
     )
+    return files if secrets else without_secrets(files)
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """Health runs, one JSON file per day, in the columns of the table; broken files give nulls."""
+    schema = (
+        "date string, mode string, memory struct<size_bytes: bigint>, daily_notes struct<total_notes: bigint>, benchmark string,"
+        "ontology struct<total_entities: bigint, total_relations: bigint, orphan_relations: bigint>"
+    )
+    rows = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
+    return rows.select(
+        F.col("date").alias("run_date"), F.col("mode").alias("run_mode"), F.col("memory.size_bytes").alias("size_bytes"), "ontology.*",
+        F.col("daily_notes.total_notes").alias("note_count"), F.col("benchmark").alias("benchmark_score"),
+    )
 
 
-def without_secrets(files: DataFrame) -> DataFrame:
-    """Files whose whole path names no secret."""
-    return files.where(~F.col("file_path").rlike(fx.SECRET_PATHS))
+def without_secrets(files: DataFrame, column: str = "file_path") -> DataFrame:
+    """Files whose whole path names no secret; a null path names none."""
+    return files.where(~F.coalesce(F.col(column).rlike(fx.SECRET_PATHS), F.lit(False)))
 
 
 def latest_files(notes: DataFrame) -> DataFrame:

@@ -19,8 +19,10 @@ LOG = "line_no bigint, change_seq bigint, op string, id string, entity string, r
 
 
 def stream_items(spark: SparkSession, path: str) -> DataFrame:
-    """Items of the notes that arrive in a folder; no shuffle and no state."""
+    """Items of the notes that arrive in a folder, of those whose path names no secret; no shuffle
+    and no state."""
     files = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.md").load(path)
+    files = ns.without_secrets(files.select("value", "_metadata"), "_metadata.file_path")
     named = files.select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("content"))
     day = ns.fx.note_date(F.col("source"))
     return extract_items(named.select("source", day.alias("day"), F.lit(0).cast("bigint").alias("chunk"), "content").where("day is not null"))
@@ -34,10 +36,15 @@ def read_state(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.schema(ch.STATE).parquet(_state_path(path, version))
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def apply_stream(spark: SparkSession, feed: str, state: str, checkpoint: str) -> StreamingQuery:
     """Folds the Parquet files that arrive in ``feed`` into versions of the state below ``state``.
 
-    Version n + 1 is the fold of version n and batch n; ``read_state`` with
+    Version n + 1 is the fold of version n and batch n; the last two are kept; ``read_state`` with
     ``changes.alive_attributes`` gives the attributes of the entities alive.
     """
 
@@ -46,6 +53,8 @@ def apply_stream(spark: SparkSession, feed: str, state: str, checkpoint: str) ->
         if n > 0:
             new = new.unionByName(read_state(batch.sparkSession, state, n))
         ch.fold(new).write.mode("overwrite").parquet(_state_path(state, n + 1))
+        if n > 0:  # batch n may come again, and then reads version n; what is before it is done with
+            _drop(batch.sparkSession, _state_path(state, n - 1))
 
     rows = spark.readStream.schema(LOG).parquet(feed)
     return rows.writeStream.foreachBatch(fold_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

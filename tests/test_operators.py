@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as fx
 from lodestone.operators import chunks, consolidate, health, indexing, items, ontology, search
+from lodestone.sources import guards
 from lodestone.sources import notes as ns
 
 DAY = dt.date(2026, 3, 1)
@@ -103,7 +104,8 @@ def test_empty_notes(spark):
 def test_promotion_plan(spark):
     promoted = spark.createDataFrame([("Keep the KEY under the mat", 3.0), ("Something that is new here", 2.5), ("", 2.0)], "text string, score double")
     memory = spark.createDataFrame([("... keep the key under the mat!",), (None,), ("",)], "content string")
-    assert [r.text for r in consolidate.promotion_plan(promoted, memory).collect()] == ["Something that is new here"]
+    for most in (1_000, 1):  # in one pass, and by a join of windows
+        assert [r.text for r in consolidate.promotion_plan(promoted, memory, most).collect()] == ["Something that is new here"]
 
 
 def test_recommendations(spark):
@@ -124,9 +126,9 @@ def test_files_of_a_folder(spark, tmp_path):
     (tmp_path / "memory" / "archive" / "2025-01-02.md").write_text("old")
     (tmp_path / "memory" / "my-token.md").write_text("secret")
     flat = ns.read_files(spark, str(tmp_path / "memory"))
-    assert sorted(r.file_name for r in flat.collect()) == ["2026-01-02.md", "my-token.md"]
-    assert [r.file_name for r in ns.without_secrets(flat).collect()] == ["2026-01-02.md"]
-    assert ns.read_files(spark, str(tmp_path / "memory"), recursive=True).count() == 3
+    assert [r.file_name for r in flat.collect()] == ["2026-01-02.md"]
+    assert sorted(r.file_name for r in ns.read_files(spark, str(tmp_path / "memory"), secrets=True).collect()) == ["2026-01-02.md", "my-token.md"]
+    assert ns.read_files(spark, str(tmp_path / "memory"), recursive=True).count() == 2
     assert [r.day for r in ns.dated(flat).collect()] == [dt.date(2026, 1, 2)]
 
 
@@ -248,6 +250,93 @@ def test_health(spark):
     assert [tuple(r) for r in status.select(*health.index_status(F.col("o"))).collect()] == [("12 files", "40 chunks"), ("N/A", "N/A")]
 
 
+def test_stale_facts_and_items(spark):
+    notes = spark.createDataFrame([(1, "Migration en cours. 12 doses restantes!"), (2, "IN  PROGRESS"), (3, None), (4, "")], "i int, t string")
+    got = {(r.key, r.type, r.context) for r in health.aging_contexts(notes, "i", "t").collect()}
+    assert got == {(1, "stale_status", "Migration en cours. 12 doses restantes!"), (1, "medication_doses", "Migration en cours. 12 doses restantes!"), (2, "stale_status", "IN  PROGRESS")}
+    scored = spark.createDataFrame([(f"text {i}", f"k{i:02d}", i / 100, "fact", ns.MEMORY_FILE if i % 2 else "a.md") for i in range(40)], "text string, text_key string, score double, category string, source string")
+    assert [r.text for r in consolidate.stale_items(scored).collect()] == [f"text {i}" for i in (13, 11, 9, 7, 5, 3, 1)]
+    assert consolidate.stale_items(scored, 1.0).count() == 10 and consolidate.stale_items(scored, 1.0, None).count() == 20
+
+
+def test_sections_as_lines(spark):
+    df = spark.createDataFrame([(1, "top\n\n## A\nxx\n## B\n## A \nlonger\n"), (2, None), (3, ""), (4, "## C")], "i int, t string")
+    got = {(r.name, r.section): r.lines for r in health.section_lines(df, "i", "t").collect()}
+    assert got == {(1, "Header"): ["top", ""], (1, "## A"): ["longer", ""], (1, "## B"): [], (3, "Header"): [""], (4, "Header"): [], (4, "## C"): []}
+
+
+def test_reports_of_nothing(spark):
+    none = notes(spark).limit(0)
+    scored = items.score_items(items.extract_items(none), as_of())
+    row = items.report(scored).first()
+    assert row.total_items == 0 and row.top_items == [] and row.category_distribution == {} and row.config.promote_threshold == 2.0
+    row = consolidate.report(consolidate.advisor_lines(none), scored).first()
+    assert row.clusters == [] and row.recommendations == ["healthy"] and row.notes_analyzed == 0
+
+
+def test_report_and_what_summaries_are_made_from(spark):
+    daily = notes(spark).where(F.col("source") != ns.MEMORY_FILE)
+    lines = consolidate.advisor_lines(daily)
+    row = consolidate.report(lines, items.score_items(items.extract_items(daily), as_of())).first()
+    assert (row.clusters_found, row.duplicates_found, row.promotions_found, row.files_analyzed) == (1, 3, 0, 3)
+    assert (row.clusters[0].summary, row.clusters[0].suggested_action) == ("Decided to move the archive node", "merge")
+    texts = consolidate.cluster_items(lines, consolidate.clusters(lines), items=2)
+    assert [list(r.texts) for r in texts.collect()] == [["Decided to move the archive node"] * 2]
+
+    def client():
+        def call(texts):
+            if len(texts) < 3:
+                raise OSError("too few")
+            return "short"
+
+        return call
+
+    made = {r.key: r.summary for r in indexing.summarise(texts.unionByName(spark.createDataFrame([("k", ["a"] * 3)], "key string, texts array<string>")), client, wait=0).collect()}
+    assert made.pop("k") == "short" and list(made.values()) == [None]
+
+
+def test_guards(tmp_path):
+    assert guards.local_url("http://localhost:11434/api") and guards.local_url("https://[::1]/x")
+    for bad in ("ftp://localhost/x", "http://example.org", "localhost:1", ""):
+        with pytest.raises(ValueError):
+            guards.local_url(bad)
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "link").symlink_to(tmp_path)
+    assert guards.inside(str(tmp_path / "w"), "a.md").endswith("/w/a.md")
+    for bad in ("../a.md", "/etc/passwd", "link/a.md"):
+        with pytest.raises(ValueError):
+            guards.inside(str(tmp_path / "w"), bad)
+
+
+def test_one_file_is_added(spark, tmp_path):
+    (tmp_path / "a.md").write_text("some text")
+    row = indexing.add_file(spark, "a.md", str(tmp_path), F.current_timestamp()).first()
+    assert (row.source, row.category, row.score, row.content) == ("a.md", "general", 0.5, "some text")
+    with pytest.raises(ValueError):
+        indexing.add_file(spark, "../a.md", str(tmp_path), F.current_timestamp())
+
+
+def test_rounding_as_python_does(spark):
+    values_ = [1.2 * 0.5**6, 0.03125, 2.675, -0.5, None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values_)], "i int, v double")
+    assert [r.x for r in df.orderBy("i").select(fx.exact_round(F.col("v"), 4).alias("x")).collect()] == [None if v is None else round(v, 4) for v in values_]
+
+
+def test_drift_of_now(spark):
+    schema = "run_date string, run_mode string, size_bytes bigint, total_entities bigint, total_relations bigint, orphan_relations bigint, note_count bigint, benchmark_score string"
+    history = spark.createDataFrame([("2026-01-01", None, 10, 5, 1, 0, 2, None), ("2026-01-04", None, 30, 6, 1, 0, 2, None)], schema)
+    files, lines = spark.createDataFrame([("x" * 25,), ("y" * 12,), (None,)], "c string"), spark.createDataFrame([(9,)], "create_lines bigint")
+    assert tuple(health.drift_now(files, "c", lines, history).first())[1:] == (7, 3)
+    assert tuple(health.drift_now(files, "c", lines, history.limit(0)).first()) == (None, None, None)
+
+
+def test_history_of_a_folder(spark, tmp_path):
+    (tmp_path / "2026-01-01.json").write_text('{"date": "2026-01-01", "mode": "full", "memory": {"size_bytes": 7}, "ontology": {"total_entities": 2}, "benchmark": "skipped"}')
+    (tmp_path / "2026-01-02.json").write_text("{broken")
+    got = health.runs(ns.read_history(spark, str(tmp_path))).collect()
+    assert [(str(r.day), r.size_bytes, r.total_entities, r.benchmark_score, r.note_count) for r in got] == [("2026-01-01", 7, 2, "skipped", None)]
+
+
 def test_history(spark):
     schema = "run_date string, run_mode string, size_bytes bigint, total_entities bigint, total_relations bigint, orphan_relations bigint, note_count bigint, benchmark_score string"
     rows = [("2026-01-01", None, 10, 5, 1, 0, 2, "skipped"), ("2026-01-04", "quick", 30, 6, 1, 0, 2, "0.500"), ("2026-01-04", "quick", 30, 6, 1, 0, 2, "0.500"), ("bad", None, 1, 1, 1, 1, 1, None)]
@@ -298,7 +387,7 @@ def test_indexing(spark):
         return call
 
     some = spark.createDataFrame([(1, "four"), (2, "bad"), (3, None)], "id bigint, content string").coalesce(1)
-    assert {r.id: r.embedding for r in indexing.embed(some, client).collect()} == {1: [4.0], 2: None}
+    assert {r.id: r.embedding for r in indexing.embed(some, client, wait=0).collect()} == {1: [4.0], 2: None}
 
 
 def test_ontology_log_is_indexed_by_line(spark):

@@ -15,7 +15,10 @@ def test_scores_are_written_without_texts(spark, tmp_path):
     sinks.write_scores(scored, str(tmp_path / "scores"), 3)
     back = sinks.read_scores(spark, str(tmp_path / "scores")).collect()
     assert len(back) == 1 and len(back[0].hash) == 16 and back[0].score == 3.0
-    assert spark.read.json(str(tmp_path / "scores" / "stats")).first().delta_from_previous == -2
+    row = spark.read.json(str(tmp_path / "scores" / "report")).first()
+    assert row.delta_from_previous == -2 and row.top_items[0]["hash"] == back[0].hash and row.category_distribution.decision == 1
+    assert "archive node" not in "".join(p.read_text() for p in (tmp_path / "scores" / "report").glob("*.json"))
+    sinks.write_archive_candidates(scored, str(tmp_path / "candidates"))
     with pytest.raises(Exception, match="(?i)exists"):
         sinks.write_scores(scored, str(tmp_path / "scores"))
 
@@ -28,6 +31,21 @@ def test_archive_is_guarded(spark, tmp_path):
         sinks.archive_notes(notes, plan, str(tmp_path / "a"))
     assert sinks.archive_notes(notes, plan, str(tmp_path / "a"), force=True) == 12
     assert (tmp_path / "a" / "month=2026-01").is_dir()
+    assert sinks.archive_notes(notes, plan, str(tmp_path / "a")) == 0  # all are there
+    assert spark.read.parquet(str(tmp_path / "a")).count() == 12
+
+
+def test_repairs(spark, tmp_path):
+    rows = [("2026-01-02.md", dt.date(2026, 1, 2), "x"), ("2026-01-02-more.md", dt.date(2026, 1, 2), "y"), ("2026-02-28.md", dt.date(2026, 2, 28), "z")]
+    notes = spark.createDataFrame(rows, "source string, day date, content string")
+    log = spark.createDataFrame([(1, "create", "a", '{"id": "a"}', None, None), (2, "update", "a", '{"id": "a"}', None, None), (3, "create", "b", "{", None, None)], "line_no bigint, op string, id string, entity string, relation string, changed_at timestamp")
+    with pytest.raises(ValueError):
+        sinks.fix_issues(notes, log, F.lit(dt.date(2026, 3, 1)), str(tmp_path / "f"))
+    told = sinks.fix_issues(notes, log, F.lit(dt.date(2026, 3, 1)), str(tmp_path / "f"), dry_run=True)
+    assert len(told) == 3 and not (tmp_path / "f").exists()
+    assert sinks.fix_issues(notes, log, F.lit(dt.date(2026, 3, 1)), str(tmp_path / "f"), force=True) == told
+    assert [r.source for r in spark.read.parquet(str(tmp_path / "f" / "archive")).collect()] == ["2026-01-02.md"]
+    assert [r.line_no for r in spark.read.parquet(str(tmp_path / "f" / "graph")).collect()] == [1]
 
 
 def test_snapshots(spark, tmp_path):
@@ -61,5 +79,6 @@ def test_stream_of_changes_equals_the_batch(spark, tmp_path):
     for k in (3, 0, 4, 1, 2):  # out of order, one batch each
         log.where(F.col("line_no") == k).coalesce(1).write.mode("append").parquet(feed)
         feeds.apply_stream(spark, feed, str(tmp_path / "state"), str(tmp_path / "checkpoint")).awaitTermination(60)
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["v=000000000004", "v=000000000005"]  # older ones are dropped
     last = changes.alive_attributes(feeds.read_state(spark, str(tmp_path / "state"), 5))
     assert {tuple(r) for r in last.collect()} == {tuple(r) for r in changes.apply_changes(log).collect()} == {("b", "name", "z")}

@@ -94,25 +94,40 @@ def references(changes: DataFrame) -> DataFrame:
     return changes.select("seq", "op", "changed_at", F.explode(refs).alias("x")).select("seq", "op", "changed_at", "x.*").where("ref <> ''")
 
 
-def _alive_before(life: DataFrame, refs: DataFrame, stretch: int) -> DataFrame:
-    """refs (key, seq, ...) with ``alive``: the last life event of the key before seq, or null."""
+def _before(life: DataFrame, refs: DataFrame, stretch: int) -> DataFrame:
+    """refs (key, seq, ...) with ``alive``, the last life event of the key before seq, or null;
+    ``created``, whether it was created by then, seq included; and ``ever``, whether it ever was.
+
+    What a key's earlier stretches leave, and whether it is ever created, comes from one row per key
+    and stretch, so no row of a key with very many of them waits for a join by that key.
+    """
     part = F.floor(F.col("seq") / stretch)
-    life = life.withColumn("part", part)
+    life = life.withColumn("part", part).withColumn("made", F.col("alive"))
     refs = refs.withColumn("part", part)
-    left = life.groupBy("key", "part").agg(F.max_by("alive", "seq").alias("left"))
-    asked = refs.select("key", "part").distinct().withColumn("left", F.lit(None).cast("boolean"))
+    none = F.lit(None).cast("boolean")
+    left = life.groupBy("key", "part").agg(F.max_by("alive", "seq").alias("left"), F.max("alive").alias("made"))
+    asked = refs.select("key", "part").distinct().withColumns({"left": none, "made": none})
+    stretches = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         left.union(asked)
         .groupBy("key", "part")
-        .agg(F.max("left").alias("left"))  # one value at most is not null
-        .withColumn("alive", F.last("left", True).over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-        .where("alive is not null")
-        .select("key", "part", (F.col("part") * stretch - 1).alias("seq"), "alive")
-    )
-    events = refs.withColumn("alive", F.lit(None).cast("boolean")).withColumn("rank", F.lit(0))
+        .agg(F.max("left").alias("left"), F.max("made").alias("made"))  # one value at most is not null
+        .withColumns({
+            "alive": F.last("left", True).over(stretches), "earlier": F.max("made").over(stretches), "ever": F.max("made").over(Window.partitionBy("key")),
+        })
+        .where("alive is not null or ever")
+        .select("key", "part", (F.col("part") * stretch - 1).alias("seq"), "alive", F.col("earlier").alias("made"), "ever")
+    )
+    events = refs.withColumns({"alive": none, "made": none, "ever": none, "rank": F.lit(0)})
     events = events.unionByName(carried.withColumn("rank", F.lit(1)), True).unionByName(life.withColumn("rank", F.lit(1)), True)
-    before = Window.partitionBy("key", "part").orderBy("seq", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    return events.withColumn("alive", F.last("alive", True).over(before)).where("rank = 0").drop("rank", "part")
+    of = Window.partitionBy("key", "part")
+    before = of.orderBy("seq", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    # sorted once: rows of one seq come behind the row asked for, so they are looked for behind it too
+    by_then = of.orderBy("seq").rangeBetween(Window.unboundedPreceding, 0)
+    return (
+        events.withColumns({"alive": F.last("alive", True).over(before), "ever": F.max("ever").over(before), "created": F.max("made").over(by_then)})
+        .where("rank = 0").drop("rank", "part", "made")
+    )
 
 
 def orphans(log: DataFrame, stretch: int = STRETCH) -> DataFrame:
@@ -140,12 +155,10 @@ def orphans(log: DataFrame, stretch: int = STRETCH) -> DataFrame:
     bloom = BloomFilter.build(created, "key")
     probed = cut(refs.withColumnRenamed("ref", "key").withColumn("maybe", bloom.predicate(spark)(*BloomFilter.hashes("key"))))
     certain = probed.where("not maybe").withColumn("reason", F.lit("missing"))
-    first = life.where("alive").groupBy("key").agg(F.min("seq").alias("first"))
     verified = (
-        _alive_before(life, probed.where("maybe"), stretch)
+        _before(life, probed.where("maybe"), stretch)
         .where("alive is null or not alive")
-        .join(first, "key", "left")
-        .withColumn("reason", F.when(F.col("first").isNull(), "missing").when(F.col("first") > F.col("seq"), "late").otherwise("deleted"))
+        .withColumn("reason", F.when(F.col("created"), "deleted").when(F.col("ever"), "late").otherwise("missing"))
     )
     columns = [F.col("seq").alias("change_seq"), F.col("field").alias("ref_field"), F.col("key").alias("ref_id"), "reason", "op", "changed_at"]
     return certain.select(columns).unionByName(verified.select(columns))

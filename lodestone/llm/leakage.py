@@ -10,7 +10,8 @@ from the recall asked for, by simulation; equal windows have equal embeddings, s
 finds them all.  Every hit is verified on the words themselves.
 
 The items are the small side: they are collected in blocks of at most MAX_WINDOWS windows, each
-broadcast and run against all documents, which are neither shuffled nor collected.
+broadcast and run against all documents, which are neither shuffled nor collected; of several
+blocks one is held at a time.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textcodes as tc
-from lodestone.session import spread
+from lodestone.session import cut, spread
 
 #: Windows of items in one broadcast: about 100 MB with their words at ten words each.
 MAX_WINDOWS = 1_000_000
@@ -137,27 +138,65 @@ def _window_starts(first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarr
     return first[:-1][text] + (np.arange(len(text)) - (after - n)[text]), text
 
 
+def distinct_windows(words: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of windows that differ in their words, and for each window the place of its equal."""
+    h = np.zeros(len(start), np.uint64)
+    for k in range(window):
+        h = tc.mix(h * np.uint64(0x9E3779B97F4A7C15) + words[start + k])
+    order = np.argsort(h, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = h[order][1:] != h[order][:-1]
+    for a in range(1, len(order), 1 << 16):  # what meets by the hash is compared
+        at = order[a - 1 : a + (1 << 16)]
+        w = words[start[at][:, None] + np.arange(window)]
+        new[a : a + (1 << 16)] |= (w[1:] != w[:-1]).any(1)
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return start[order[new]], of
+
+
 class _Items:
-    """Windows of one block of items, by key."""
+    """Windows of one block of items, by key.
+
+    Equal windows enter once.  Items that hold a window are kept as sets, and most windows of a
+    passage have the set of their neighbours, so that a passage many items share costs a document
+    one row for each item and not one for each window of each.
+    """
 
     def __init__(self, ids: np.ndarray, texts: pa.Array, window: int, edits: int, recall: float):
         codes, begins = tc.codes_of(texts)
         self.words, _, first = tc.words_of(codes, begins)
         start, text = _window_starts(first, window)
         self.window, self.edits = window, edits
+        start, of = distinct_windows(self.words, start, window)
+        # distinct (window, item), in order
+        order = np.lexsort((ids[text], of))
+        of, item = of[order], ids[text[order]]
+        new = np.r_[True, (of[1:] != of[:-1]) | (item[1:] != item[:-1])] if len(of) else np.zeros(0, bool)
+        of, item = of[new], item[new]
+        head = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[head, len(of)])
+        # sets of items by two sums of hashes of their members
+        mixed = tc.mix(item.view(np.uint64) + np.uint64(1))
+        sums = np.stack([np.add.reduceat(mixed, head), np.add.reduceat(tc.mix(mixed), head)], 1) if len(head) else np.zeros((0, 2), np.uint64)
+        _, one, self.set_of = np.unique(sums, axis=0, return_index=True, return_inverse=True)
+        self.set_of = self.set_of.ravel()
+        self.set_size = size[one]
+        self.set_begin = np.cumsum(self.set_size) - self.set_size
+        self.set_items = np.concatenate([item[head[k] : head[k] + size[k]] for k in one]) if len(one) else np.zeros(0, np.int64)
         self.tables = []
         for seed in range(1, 1 + repetitions(window, edits, recall)):
             key = walk_keys(self.words, start, window, seed)
             order = np.argsort(key, kind="stable")
             bits = np.zeros(1 << 22, bool)
             bits[key & np.uint64((1 << 22) - 1)] = True
-            self.tables.append((seed, key[order], start[order], ids[text[order]], np.packbits(bits)))
+            self.tables.append((seed, key[order], start[order], order, np.packbits(bits)))
 
     def hits(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(text, item id) pairs, distinct."""
         start, text = _window_starts(first, self.window)
         found = []
-        for seed, keys, item_start, item_id, packed in self.tables:
+        for seed, keys, item_start, number, packed in self.tables:
             if not len(keys) or not len(start):
                 continue
             k = walk_keys(words, start, self.window, seed)
@@ -166,16 +205,19 @@ class _Items:
             a, z = np.searchsorted(keys, k[maybe], "left"), np.searchsorted(keys, k[maybe], "right")
             hit = z > a
             maybe, a, z = maybe[hit], a[hit], z[hit]
-            for block in range(0, len(maybe), 4096):  # a repeated item window may be hit often
+            for block in range(0, len(maybe), 4096):
                 m, lo, n = maybe[block : block + 4096], a[block : block + 4096], (z - a)[block : block + 4096]
                 row = np.repeat(np.arange(len(m)), n)
                 at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 span = np.arange(self.window)
                 ok = within_edits(words[start[m][row][:, None] + span], self.words[item_start[at][:, None] + span], self.edits)
-                found.append(np.stack([text[m][row[ok]], item_id[at[ok]]], 1))
+                found.append(np.unique(np.stack([text[m][row[ok]], self.set_of[number[at[ok]]]], 1), axis=0))
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pairs = np.unique(np.concatenate(found), axis=0)
+        text, sets = np.unique(np.concatenate(found), axis=0).T
+        n = self.set_size[sets]
+        item = self.set_items[np.repeat(self.set_begin[sets] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        pairs = np.unique(np.stack([np.repeat(text, n), item], 1), axis=0)
         return pairs[:, 0], pairs[:, 1]
 
 
@@ -220,6 +262,9 @@ def leaks(
                         t, i = found.hits(words, first)
                         yield pa.RecordBatch.from_arrays([pa.array(ids[a + t]), pa.array(i)], names=["d", "i"])
 
-        part = source.mapInArrow(run, "d bigint, i bigint")
+        part = source.mapInArrow(run, "d bigint, i bigint").distinct()
+        if blocks > 1:  # one block after the other, so that one broadcast is held at a time
+            part = cut(part)
+            shared.unpersist()
         out = part if out is None else out.unionByName(part)
     return out.distinct().toDF(doc_id, item_id)

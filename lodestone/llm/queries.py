@@ -61,6 +61,13 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "benchmark", "item_id", "text"))
 
 
+def p7_edited(spark: SparkSession, sf: str) -> DataFrame:
+    """Passages that may differ by one word edit."""
+    from lodestone.llm.leakage import leaks
+
+    return leaks(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "benchmark", "item_id", "text"), edits=1)
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     from lodestone.llm.spans import shared_spans
 
@@ -79,7 +86,14 @@ def p8_lines(spark: SparkSession, sf: str) -> DataFrame:
     return dedup_lines(table(spark, sf, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_nearest, p3_found, p3_redacted, p4_found, p4_groups, p6_ids, p7_found, p8_found, p8_share, p8_lines)}
+def p8_cleaned(spark: SparkSession, sf: str) -> DataFrame:
+    from lodestone.llm.spans import without_repeats
+
+    found = without_repeats(table(spark, sf, "documents", "doc_id", "text"))
+    return found.withColumn("line_starts", F.array_join("line_starts", ","))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_nearest, p3_found, p3_redacted, p4_found, p4_groups, p6_ids, p7_found, p7_edited, p8_found, p8_share, p8_lines, p8_cleaned)}
 
 _GRAMS = """
   select {id}, array_to_string(w[i:i+9], ' ') as g
@@ -96,6 +110,15 @@ k as (select doc_id, p, sum(b) over (partition by doc_id order by p) as r from m
 spans as (select doc_id, min(p) as span_start, max(p) + 200 - min(p) as span_len from k group by doc_id, r)
 """
 
+_LINES = """
+with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(0, len(string_split(text, chr(10))))) as k
+           from documents where text is not null),
+s as (select doc_id, k, line, length(line) as len,
+             coalesce(sum(length(line) + 1) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0)::bigint as start,
+             trim(regexp_replace(lower(line), '[\\s\\x1c-\\x1f\\x85\\p{Z}]+', ' ', 'g')) as norm from l),
+m as (select *, length(norm) < 30 or row_number() over (partition by norm order by doc_id, start) = 1 as is_kept from s)
+"""
+
 SQL = {
     "p8_found": _SPANS + "select doc_id, span_start, span_len from spans",
     "p8_share": _SPANS + """
@@ -103,15 +126,11 @@ select d.doc_id, coalesce(n_spans, 0) as n_spans, coalesce(shared_chars, 0) as s
        round(coalesce(shared_chars / nullif(n, 0)::double, 0), 6) as shared_share
 from (select doc_id, max(coalesce(length(text), 0)) as n from documents group by doc_id) d
 left join (select doc_id, count(*) as n_spans, sum(span_len)::bigint as shared_chars from spans group by doc_id) using (doc_id)""",
-    "p8_lines": """
-with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(0, len(string_split(text, chr(10))))) as k
-           from documents where text is not null),
-s as (select doc_id, line, length(line) as len,
-             coalesce(sum(length(line) + 1) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0)::bigint as start,
-             trim(regexp_replace(lower(line), '[\\s\\x1c-\\x1f\\x85\\p{Z}]+', ' ', 'g')) as norm from l)
-select doc_id, start as line_start, len as line_len,
-       row_number() over (partition by norm order by doc_id, start) = 1 as is_kept
-from s where length(norm) >= 30""",
+    "p8_lines": _LINES + "select doc_id, start as line_start, len as line_len, is_kept from m where length(norm) >= 30",
+    "p8_cleaned": _LINES + """
+select d.doc_id, case when d.text is not null then coalesce(string_agg(line, chr(10) order by k), '') end as text,
+       coalesce(string_agg(start::varchar, ',' order by k), case when d.text is not null then '' end) as line_starts
+from documents d left join m on d.doc_id = m.doc_id and is_kept group by d.doc_id, d.text""",
     "p7_found": f"""
 with d as ({_GRAMS.format(id="doc_id", table="documents")}), i as ({_GRAMS.format(id="item_id", table="benchmark")})
 select distinct d.doc_id, i.item_id from d join i using (g)""",

@@ -15,7 +15,8 @@ Records with equal texts are settled first, by digest of the whole text: each is
 one of them stands for all in the search.  Units in very many records (HOT) send single window
 hashes through an ordinary aggregation, which combines before it shuffles.
 
-``dedup_lines`` is the plain form: lines as units, the earliest ranked occurrence kept.
+``dedup_lines`` and ``without_repeats`` are the plain form: lines as units, the earliest ranked
+occurrence kept, the rest removed, the places of what is left retained.
 """
 
 from __future__ import annotations
@@ -260,6 +261,26 @@ def shared_share(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", tex
     )
 
 
+def _lines(docs: DataFrame, min_chars: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(d, k, start, len, u): lines of ``min_chars`` normalised characters or more, with their number
+    and digest; and (d, start) of the first of each digest.
+
+    The first ones come from an aggregation that combines before it shuffles, and are joined by their
+    own place, so that a line of very many texts is nobody's hot key.
+    """
+    lines = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("d"), F.split(text, "\n").alias("l"))
+    # places of lines without a shuffle: the sums of the lengths before them
+    ends = F.aggregate(
+        "l", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("s")),
+        lambda acc, x: F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.array_append(acc["s"], acc["at"]).alias("s")), lambda acc: acc["s"],
+    )
+    lines = lines.select("d", F.posexplode(F.arrays_zip(F.col("l").alias("l"), ends.alias("s"))).alias("k", "x")).select("d", "k", F.col("x.l").alias("line"), F.col("x.s").alias("start"))
+    norm = F.trim(F.regexp_replace(F.lower("line"), r"(?U)\s+", " "))
+    units = lines.select("d", "k", "start", F.length("line").alias("len"), F.md5(norm).alias("u"), F.length(norm).alias("n")).where(F.col("n") >= min_chars)
+    first = units.groupBy("u").agg(F.min(F.struct("d", "start")).alias("first")).select("first.*")
+    return units.drop("n"), first
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = 30, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, line_start, line_len, is_kept) of each line of ``min_chars`` normalised characters
     or more: kept where it is the first of its digest by (doc_id, line_start).
@@ -267,19 +288,26 @@ def dedup_lines(docs: DataFrame, min_chars: int = 30, doc_id: str = "doc_id", te
     Lines end at a newline; they are normalised by lower case and single spaces; offsets are code
     points of the text as it is.  Null and empty texts have no line, null ids are left out.
     """
-    lines = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(doc_id), F.posexplode(F.split(text, "\n")).alias("k", "line")
-    )
-    order = Window.partitionBy(doc_id).orderBy("k")
-    lines = lines.withColumn("len", F.length("line")).withColumn(
-        "start", F.coalesce(F.sum(F.col("len") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    )
-    norm = F.trim(F.regexp_replace(F.lower("line"), r"(?U)\s+", " "))
-    units = lines.select(doc_id, "start", "len", F.md5(norm).alias("u"), F.length(norm).alias("n")).where(F.col("n") >= min_chars)
-    first = units.groupBy("u").agg(F.min(F.struct(F.col(doc_id).alias("d"), "start")).alias("first"))
-    return units.join(first, "u").select(
-        doc_id,
-        F.col("start").cast("bigint").alias("line_start"),
-        F.col("len").cast("bigint").alias("line_len"),
-        ((F.col(doc_id) == F.col("first.d")) & (F.col("start") == F.col("first.start"))).alias("is_kept"),
-    )
+    units, first = _lines(docs, min_chars, doc_id, text)
+    return units.join(first.withColumn("kept", F.lit(True)), ["d", "start"], "left").select(
+        F.col("d").alias(doc_id), F.col("start").cast("bigint").alias("line_start"), F.col("len").cast("bigint").alias("line_len"),
+        F.coalesce("kept", F.lit(False)).alias("is_kept"),
+    )
+
+
+def without_repeats(docs: DataFrame, min_chars: int = 30, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text, line_starts): each text without the lines that an earlier record, or the record
+    itself further up, holds too; line_starts are the places of the lines left in the text as it was.
+
+    Lines as in ``dedup_lines``; shorter ones stay.  A text of which nothing is left is empty, a
+    null text stays null without places; null ids are left out; ids are taken to be unique.
+    """
+    units, first = _lines(docs, min_chars, doc_id, text)
+    gone = units.join(first, ["d", "start"], "left_anti").groupBy("d").agg(F.collect_set("k").alias("gone"))  # no more than a text has lines
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("d"), F.split(text, "\n").alias("l")).join(gone, "d", "left")
+    places = F.aggregate(
+        "l", F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("s")),
+        lambda acc, x: F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.array_append(acc["s"], acc["at"]).alias("s")), lambda acc: acc["s"],
+    )
+    left = lambda a: F.when(F.col("gone").isNull(), a).otherwise(F.filter(a, lambda x, i: ~F.array_contains("gone", i)))
+    return rows.select(F.col("d").alias(doc_id), F.array_join(left(F.col("l")), "\n").alias("text"), left(places).alias("line_starts"))

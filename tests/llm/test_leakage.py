@@ -52,6 +52,37 @@ def test_equal_windows_are_all_found(spark, monkeypatch):
     assert {tuple(r) for r in leaks(d, i).collect()} == want
 
 
+def test_a_passage_of_many_items(spark):
+    """Windows that all items share enter once, and a document gets a row for each item."""
+    shared = " ".join(f"s{k}" for k in range(40))
+    items = [(i, f"own{i} {shared} tail{i % 3} " + " ".join(f"t{i % 3}x{k}" for k in range(12))) for i in range(300)] + [(900, shared + " " + shared)]
+    docs = [(1, "x " + shared), (2, shared + " tail1 t1x0"), (3, " ".join(f"t2x{k}" for k in range(12))), (4, "s1 s2 s3")]
+    import pyarrow as pa
+
+    found = leakage._Items(np.array([i for i, _ in items]), pa.array([t for _, t in items]), 10, 0, 0.99)
+    assert len(found.tables[0][1]) < 31 + 300 * 3 + 100 and len(found.set_size) < 330  # windows that differ, sets of items
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert {tuple(r) for r in leaks(d, i).collect()} == brute(docs, items)
+
+
+def test_edits_against_brute_force(spark):
+    """All pairs of windows within one edit, of texts with many words in common."""
+    docs, items = sample(3, 40)
+    docs, items = [x for x in docs if x[1] and len(x[1]) < 1_000], [x for x in items if x[1] and x[0] != 14]
+    grams = lambda t: {tuple(x[k : k + 10]) for x in [words(t)] for k in range(len(x) - 9)}
+    code = {}
+    numbers = lambda g: np.array([[code.setdefault(w, len(code)) for w in x] for x in g])
+    of_items = [(i, numbers(g)) for i, t in items if (g := grams(t))]
+    want = set()
+    for d, t in docs:
+        for x in numbers(grams(t)) if grams(t) else ():
+            for i, g in of_items:
+                if leakage.within_edits(np.repeat(x[None], len(g), 0), g, 1).any():
+                    want.add((d, i))
+    got = {tuple(r) for r in leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), edits=1).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want) > 5
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([], "doc_id bigint, text string")
     i = spark.createDataFrame([], "item_id bigint, text string")

@@ -1,6 +1,6 @@
 import random
 
-from lodestone.llm.spans import dedup_lines, shared_share, shared_spans
+from lodestone.llm.spans import dedup_lines, shared_share, shared_spans, without_repeats
 
 
 def brute(docs, n):
@@ -62,3 +62,18 @@ def test_lines_keep_the_earliest(spark):
     got = sorted(tuple(r) for r in dedup_lines(df).collect())
     assert got == [(1, 3, 43, True), (2, 0, 40, False), (2, 47, 40, False)]
     assert dedup_lines(df.limit(0)).count() == 0
+
+
+def test_texts_without_repeats(spark):
+    a, b = "This line is long enough to be a unit of its own.", "Another line that is long enough to be one."
+    rows = [(1, f"{a}\nshort\n{b}\n{a}"), (2, f"  {a.upper()}  \n\nnew and long enough to stay where it is ok\n{b}"), (3, a), (4, None), (5, ""), (None, a)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, line_starts string")
+    got = {r.doc_id: (r.text, r.line_starts) for r in without_repeats(df).collect()}
+    assert got == {
+        1: (f"{a}\nshort\n{b}", [0, len(a) + 1, len(a) + 7]), 2: ("\nnew and long enough to stay where it is ok", [len(a) + 5, len(a) + 6]),
+        3: ("", []), 4: (None, None), 5: ("", [0]),
+    }
+    for i, (text, starts) in got.items():  # the places are those of the lines left
+        for line, s in zip((text or "").split("\n") if starts else (), starts or ()):
+            assert dict(rows)[i][s : s + len(line)] == line
+    assert without_repeats(df.limit(0)).count() == 0

@@ -47,7 +47,7 @@ def _owners(codes: np.ndarray, prefix: np.ndarray, begins: np.ndarray, length: i
     if n < length or count.max(initial=0) <= 0:
         z = np.zeros(0, np.int64)
         return z, z, z, z
-    g = tc.span_hash(prefix, np.arange(n - gram + 1), np.arange(gram, n + 1))
+    g = tc.gram_hash(prefix, gram)
     # value above, position (reversed) below: the minimum is the last of the smallest; the same
     # 32 bits decide in every batch, so equal windows have equal owners wherever they stand
     low = np.uint64(32)

@@ -112,9 +112,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _folded(x: np.ndarray) -> np.ndarray:
     """x below 2^63 modulo 2^31 - 1."""
-    x = (x & _M31) + (x >> _31)
-    x = (x & _M31) + (x >> _31)
-    return np.where(x >= _M31, x - _M31, x)
+    for _ in range(2):
+        high = x >> _31
+        x = x & _M31
+        x += high
+    x -= (x >= _M31) * _M31
+    return x
 
 
 @lru_cache(maxsize=4)
@@ -154,6 +157,14 @@ def span_hash(prefix: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.
     return mix((p[end] - p[start]) * _powers(size)[1][start] ^ mix(small))
 
 
+def gram_hash(prefix: tuple[np.ndarray, np.ndarray], size: int) -> np.ndarray:
+    """A hash of each values[i : i + size], modulo 2^64 alone: to choose among grams, not to tell
+    them apart."""
+    p = prefix[0]
+    n = len(p) - size
+    return mix((p[size:] - p[:n]) * _powers(1 << max(10, len(p).bit_length()))[1][:n])
+
+
 def words_of(codes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words (maximal runs of letters or digits, case ignored) of all texts.
 

@@ -97,34 +97,42 @@ def _contexts(length: int, gram: int):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             codes, begins = tc.codes_of(batch.column(1))
-            wanted = batch.column(2).to_pylist()
-            texts = batch.column(1).to_pylist()
+            lists = batch.column(2)
+            of = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy())
+            flat = lists.flatten()
+            key = (of << 32) + flat.field(0).to_numpy()
+            order = np.argsort(key)
+            key, hot = key[order], flat.field(1).to_numpy(zero_copy_only=False)[order]
             for a, z in tc.chunks(begins):
                 c, b = codes[begins[a] : begins[z]], begins[a : z + 1] - begins[a]
                 prefix = tc.prefix_hash(c)
                 owner, first, last, text = _owners(c, prefix, b, length, gram)
-                digest = tc.span_hash(prefix, owner, owner + gram).view(np.int64)
-                rows: list[tuple] = []
-                bound = np.searchsorted(text, np.arange(z - a + 1))
-                for i in range(a, z):
-                    hot = {w["f"]: w["hot"] for w in wanted[i]}
-                    for k in range(bound[i - a], bound[i - a + 1]):
-                        f = int(first[k] - b[i - a])
-                        if f not in hot:
-                            continue
-                        n = int(last[k] - first[k]) + 1
-                        if hot[f]:
-                            at = np.arange(first[k], last[k] + 1)
-                            h = tc.span_hash(prefix, at, at + length).view(np.int64)
-                            rows.extend((0, ids[i], f + j, 1, None, int(x)) for j, x in enumerate(h))
-                        else:
-                            rows.append((int(digest[k]), ids[i], f, n, texts[i][f : f + n + length - 1], None))
-                if rows:
-                    u, d, f, n, t, h = zip(*rows)
+                place = first - b[text]
+                mine = ((a + text) << 32) + place
+                at = np.minimum(np.searchsorted(key, mine), len(key) - 1)
+                wanted = np.flatnonzero(key[at] == mine)
+                heat = hot[at[wanted]]
+                k = wanted[~heat]
+                if len(k):
+                    n = last[k] - first[k] + 1
+                    digest = tc.span_hash(prefix, owner[k], owner[k] + gram).view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(digest), pa.array(ids[a + text[k]]), pa.array(place[k].astype(np.int32)), pa.array(n.astype(np.int32)),
+                            tc.texts_of(c, first[k], n + length - 1), pa.nulls(len(k), pa.int64()),
+                        ],
+                        names=["u", "d", "f", "n", "t", "h"],
+                    )
+                k = wanted[heat]
+                if len(k):
+                    n = last[k] - first[k] + 1
+                    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    start = np.repeat(first[k], n) + nth
+                    h = tc.span_hash(prefix, start, start + length).view(np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(u, pa.int64()), pa.array(d, pa.int64()), pa.array(f, pa.int32()),
-                            pa.array(n, pa.int32()), pa.array(t, pa.string()), pa.array(h, pa.int64()),
+                            pa.array(np.zeros(len(h), np.int64)), pa.array(np.repeat(ids[a + text[k]], n)), pa.array((np.repeat(place[k], n) + nth).astype(np.int32)),
+                            pa.array(np.ones(len(h), np.int32)), pa.nulls(len(h), pa.string()), pa.array(h),
                         ],
                         names=["u", "d", "f", "n", "t", "h"],
                     )

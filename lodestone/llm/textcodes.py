@@ -70,6 +70,16 @@ def codes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return codes, heads[ends - ends[0]]
 
 
+def texts_of(codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
+    """The strings codes[start : start + length]."""
+    ends = np.cumsum(length)
+    some = codes[np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+    size = 1 + (some >= 0x80) + (some >= 0x800) + (some >= 0x10000)
+    after = np.r_[0, np.cumsum(size)][np.r_[0, ends]].astype(np.int64)
+    raw = some.astype(np.uint32).tobytes().decode("utf-32-le").encode("utf-8")
+    return pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(after), pa.py_buffer(raw)]).cast(pa.string())
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: flips about half of the output bits for each input bit."""
     x = x.astype(np.uint64, copy=True)

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+
+from lodestone.llm import textcodes as tc
 from lodestone.llm.spans import dedup_lines, shared_share, shared_spans, without_repeats
 
 
@@ -64,6 +67,16 @@ def test_lines_keep_the_earliest(spark):
     assert dedup_lines(df.limit(0)).count() == 0
 
 
+def test_slices_of_codes_are_texts():
+    import pyarrow as pa
+
+    text = "aé漢🙂b\n" * 5
+    codes, _ = tc.codes_of(pa.array([text]))
+    start, length = np.array([0, 3, 7, 29]), np.array([4, 0, 10, 1])
+    assert tc.texts_of(codes, start, length).to_pylist() == [text[s : s + n] for s, n in zip(start, length)]
+    assert tc.texts_of(codes, start[:0], length[:0]).to_pylist() == []
+
+
 def test_texts_without_repeats(spark):
     a, b = "This line is long enough to be a unit of its own.", "Another line that is long enough to be one."
     rows = [(1, f"{a}\nshort\n{b}\n{a}"), (2, f"  {a.upper()}  \n\nnew and long enough to stay where it is ok\n{b}"), (3, a), (4, None), (5, ""), (None, a)]

@@ -38,6 +38,8 @@ FAN = 16
 NODE_ROWS = 8_192
 #: Blocks of an upper node from which it is refined, choices of the value that joins, and how often.
 MOST_BLOCKS, REFINED, DEPTH = 8, 8, 3
+#: Edges of one end from which they are joined in parts, and the number of parts.
+HUB, SALTS = 100_000, 32
 #: Standard deviations of the Hamming distance allowed above its mean at the threshold.
 SLACK = 2.7
 
@@ -313,7 +315,19 @@ def similar_pairs(df: DataFrame, threshold: float = 0.8, shingle: int = 5, min_w
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-def components(pairs: DataFrame) -> DataFrame:
+def _to_least(both: DataFrame, least: DataFrame, hub: int) -> DataFrame:
+    """Edges (x, y) with the least neighbour of x.  Ends of more than ``hub`` edges, if there are any,
+    are joined in SALTS parts, so that none is one task's work."""
+    hubs = cut(least.where(F.col("n") > hub).select("x"))
+    least = least.select("x", "m")
+    if hubs.isEmpty():
+        return both.join(least, "x")
+    parts = least.join(hubs, "x", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hot = both.join(hubs, "x", "left_semi").withColumn("salt", F.pmod(F.xxhash64("y"), F.lit(SALTS)).cast("int"))
+    return both.join(hubs, "x", "left_anti").join(least, "x").unionByName(hot.join(parts, ["x", "salt"]).drop("salt"))
+
+
+def components(pairs: DataFrame, hub: int = HUB) -> DataFrame:
     """(id, root): the smallest id of the connected component, for each id of pairs (a, b).
 
     Large-star and small-star in turn: each step hangs neighbours on the smallest one, so that
@@ -323,8 +337,8 @@ def components(pairs: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.union(edges.select("y", "x"))
-        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
+        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"), F.count("*").alias("n"))
+        large = _to_least(both, least, hub).where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
         least = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(least, "x")
         edges = cut(

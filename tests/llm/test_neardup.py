@@ -113,6 +113,10 @@ def test_neighbours_in_gray_code_differ_in_one_bit():
 
 def test_components_of_a_long_chain(spark):
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 102), (100, 102), (7, 200)]
-    got = {r.id: r.root for r in components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    pairs += [(300, k) for k in range(301, 340)]  # a hub
+    for hub in (100_000, 10):
+        got = {r.id: r.root for r in components(spark.createDataFrame(pairs, "a bigint, b bigint"), hub).collect()}
+        assert {k: v for k, v in got.items() if k >= 300} == dict.fromkeys(range(300, 340), 300)
+    got = {k: v for k, v in got.items() if k < 300}
     assert got == {**{i: 0 for i in range(61)}, 200: 0, 100: 100, 101: 100, 102: 100}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0

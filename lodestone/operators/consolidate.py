@@ -57,8 +57,14 @@ def clusters(lines: DataFrame, least_days: int = 2) -> DataFrame:
 
 
 def top_clusters(lines: DataFrame, n: int = 10, least_days: int = 2) -> DataFrame:
-    """The clusters on most days; equal ones by first appearance."""
-    return clusters(lines, least_days).orderBy(F.desc("date_count"), "first").limit(n)
+    """The clusters on most days; equal ones by first appearance.
+
+    All keys are counted without their days and files; only the lines of the ``n`` best go into arrays.
+    """
+    keyed = lines.withColumn("key", fx.cluster_key(F.col("text"))).where("key <> ''")
+    counts = keyed.groupBy("key").agg(F.count_distinct("day").alias("days"), F.min(_place()).alias("first")).where(F.col("days") >= least_days)
+    best = counts.orderBy(F.desc("days"), "first").limit(n).select("key")
+    return clusters(keyed.join(F.broadcast(best), "key", "left_semi").drop("key"), least_days).orderBy(F.desc("date_count"), "first")
 
 
 def line_stats(lines: DataFrame) -> DataFrame:
@@ -156,14 +162,14 @@ def report(lines: DataFrame, scored: DataFrame) -> DataFrame:
     lines, scored = cut(lines), cut(scored)
     one = lambda df: df.withColumn("one", F.lit(1))
     listed = lambda df, name, *by: one(df.agg(F.sort_array(F.collect_list(F.struct(*by, *(c for c in df.columns if c not in by)))).alias(name)))
-    found = cut(clusters(lines))
+    keys = lines.withColumn("key", fx.cluster_key(F.col("text"))).where("key <> ''").groupBy("key").agg(F.count_distinct("day").alias("days")).where("days >= 2")
     action = (F.lit("merge").alias("suggested_action"), F.lit("MEMORY.md (relevant section)").alias("suggested_target"))
-    named = found.orderBy(F.desc("date_count"), "first").limit(MOST_CLUSTERS).select(
+    named = top_clusters(lines, MOST_CLUSTERS).select(
         (-F.col("date_count")).alias("order"), "first", "key", summary_of(F.col("sample_text")).alias("summary"), "date_count", "dates", "sources", "sample_text", *action
     )
     row = (
         one(lines.agg(F.count("*").alias("notes_analyzed"), F.count_distinct("source").alias("files_analyzed")))
-        .join(one(found.agg(F.count("*").alias("clusters_found"))), "one")
+        .join(one(keys.agg(F.count("*").alias("clusters_found"))), "one")
         .join(listed(named, "clusters", "order", "first"), "one")
         .join(listed(advisor_promotions(scored), "promotions", "text"), "one")
         .join(listed(stale_items(scored), "stale_items", "text"), "one")

@@ -66,6 +66,7 @@ def test_stream_of_notes(spark, tmp_path):
     folder.mkdir()
     (folder / "2026-01-02.md").write_text("## Ops\n- Decided to move the archive node")
     (folder / "other.md").write_text("- Decided to move the archive node")
+    (folder / "2026-01-03-token.md").write_text("- Decided to move the archive node")  # a secret by its name
     q = feeds.stream_items(spark, str(folder)).writeStream.format("memory").queryName("items").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [(r.source, r.section) for r in spark.table("items").collect()] == [("2026-01-02.md", "ops")]

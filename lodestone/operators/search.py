@@ -8,13 +8,16 @@ reads the memories once to rank them and once for the details of its pools.
 from __future__ import annotations
 
 import re
+import time
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.session import cut
 
@@ -233,3 +236,46 @@ def store_stats(memories: DataFrame, vectors: DataFrame) -> DataFrame:
 def breakdown(memories: DataFrame, column: str) -> DataFrame:
     """Memories per value of a column, most first; values differ by more than case, nulls are one."""
     return one_per_id(memories).groupBy(F.lower(column).alias(column)).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
+
+
+@F.pandas_udf(T.BinaryType())
+def _packed(v: pd.Series) -> pd.Series:
+    return v.map(lambda x: np.asarray(x, "<f4").tobytes(), na_action="ignore")
+
+
+def packed(vector: Column) -> Column:
+    """The numbers of a vector as bytes, four each, little-endian: for stores that keep vectors so."""
+    return _packed(vector.cast("array<float>"))
+
+
+def try_out(memories: DataFrame, vectors: DataFrame, queries: tuple[str, ...], pool: int = 20, limit: int = 5) -> list[dict]:
+    """What each query finds and how long it takes, for lexical, vector and hybrid search: totals,
+    the first three sources, milliseconds, and how many sources the hybrid results have.
+
+    A harness: each search is run for itself, and no more than a pool of rows comes back.
+    """
+    out = []
+    for query in queries:
+        found = {"query": query}
+
+        def timed(name: str, search, n: int = 3) -> None:
+            began = time.time()
+            rows = search().collect()
+            found[f"{name}_ms"] = round(1000 * (time.time() - began), 1)  # noqa: B023
+            found[f"{name}_total"], found[name] = len(rows), [r.source for r in rows[:n]]  # noqa: B023
+
+        timed("lexical", lambda: lexical_search(memories, query, pool).orderBy("lex_rank"))  # noqa: B023
+        vector = query_vector(vectors, lexical_search(memories, query, pool))
+        if vector is None:
+            found |= {"vector_ms": None, "vector_total": 0, "vector": []}
+        else:
+            timed("vector", lambda: vector_search(vectors, memories, vector, pool).orderBy("vec_rank"))  # noqa: B023
+        timed("hybrid", lambda: hybrid_search(memories, vectors, query, limit, vector), limit)  # noqa: B023
+        out.append(found | {"hybrid_sources": len(set(found["hybrid"]))})
+    return out
+
+
+def mean_ms(tried: list[dict]) -> dict[str, float]:
+    """Mean milliseconds of each kind of search, over the queries that had one."""
+    kinds = {k: [t[f"{k}_ms"] for t in tried if t[f"{k}_ms"] is not None] for k in ("lexical", "vector", "hybrid")}
+    return {k: round(sum(v) / len(v), 1) for k, v in kinds.items() if v}

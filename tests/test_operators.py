@@ -231,6 +231,28 @@ def test_vectors(spark):
         assert [r.id for r in got] == want
 
 
+def test_k_comes_before_the_join(spark):
+    vec = spark.createDataFrame([(9_999, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0]), (9_999, [1.0, 0.0])], "id bigint, embedding array<float>")
+    assert [(r.id, r.vec_rank) for r in search.vector_search(vec, store(spark), [1.0, 0.0], 2).collect()] == [(1, 1)]
+
+
+def test_vectors_as_bytes(spark):
+    import struct
+
+    df = spark.createDataFrame([(1, [1.0, -2.5]), (2, None), (3, [])], "i int, v array<float>")
+    assert [r.b for r in df.orderBy("i").select(search.packed(F.col("v")).alias("b")).collect()] == [bytearray(struct.pack("<2f", 1.0, -2.5)), None, bytearray()]
+
+
+def test_queries_are_tried_out(spark):
+    vec = spark.createDataFrame([(i, [float(i % 3)] * 767 + [1.0 + i]) for i in range(30)], "id bigint, embedding array<float>")
+    tried = search.try_out(store(spark), vec, ("word7", "absent"))
+    assert [(t["lexical_total"], t["vector_total"], t["hybrid_total"] > 0) for t in tried] == [(1, 20, True), (0, 0, False)]
+    assert tried[0]["lexical"] == ["s3"] and tried[0]["hybrid_sources"] <= 5 and set(search.mean_ms(tried)) == {"lexical", "vector", "hybrid"}
+    found = search.hybrid_search(store(spark), vec, "word7", 3)
+    shown = {r.id: r for r in search.with_details(found, store(spark).withColumn("layer", F.lit("l")), 10).collect()}
+    assert shown[7].content == "alpha beta" and shown[7].layer == "l"
+
+
 def test_health(spark):
     text = "top\n## A\nxx\n## B\n\n## A\nlonger"
     df = spark.createDataFrame([(1, text), (2, None), (3, "")], "i int, t string")

@@ -146,7 +146,7 @@ def checked(text: str, start: int, end: int, kind: str) -> tuple[int, int] | Non
     if kind == "email":
         ok = bool(_AT.search(v) and _DOT.search(v[_AT.search(v).end() :])) and "/" not in v and not _PATH.search(text, start, min(len(text), end + 2))
     elif kind == "phone":
-        ok = 7 <= len(digits) <= 15
+        ok = 8 <= len(digits) <= 15
     elif kind == "id_number":
         ok = 7 <= len(digits) <= 15 and (len(digits) != 15 or 97 - int(digits[:13]) % 97 == int(digits[13:]))
     elif kind == "address":

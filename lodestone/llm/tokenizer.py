@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 from lodestone.llm import textcodes as tc
 from lodestone.session import spread
 
-#: Pieces kept per task; the table is emptied when full, which changes no result.
-KEPT_PIECES = 400_000
+#: Pieces kept per task, and their code points at most; the table is emptied when full, which changes no result.
+KEPT_PIECES, KEPT_LENGTH = 400_000, 64
+#: Bytes of a piece whose tokens are looked for at once.
+BLOCK = 1 << 16
 
 
 class BacktrackingBpe:
@@ -46,6 +48,7 @@ class BacktrackingBpe:
         if [rank for rank, _ in ranked] != list(range(len(ranked))):
             raise ValueError("ranks must be 0, 1, 2 and so on")
         self.lengths = [len(t) for t in self.tokens]
+        self.longest = max(self.lengths, default=1)
         self.joined = b"".join(self.tokens)
         self.offsets = np.zeros(len(self.tokens) + 1, np.int64)
         np.cumsum(self.lengths, out=self.offsets[1:])
@@ -111,21 +114,39 @@ class BacktrackingBpe:
             else:
                 return True
 
+    def _starting(self, piece: bytes, block: int) -> list[list[int]]:
+        """Tokens that begin at each byte of a block, the longest last."""
+        begin = block * BLOCK
+        size = min(BLOCK, len(piece) - begin)
+        out: list[list[int]] = [[] for _ in range(size)]
+        for end, token in self.automaton.iter(piece[begin : begin + size + self.longest].decode("latin-1")):
+            start = end + 1 - self.lengths[token]
+            if start < size:
+                out[start].append(token)
+        return out
+
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.rank.get(piece)
         if whole is not None:
             return [whole]
         n = len(piece)
-        starting: list[list[int]] = [[] for _ in range(n)]
         lengths = self.lengths
-        for end, token in self.automaton.iter(piece.decode("latin-1")):
-            starting[end + 1 - lengths[token]].append(token)  # by growing end, so the longest is last
+        starting = self._starting(piece, 0)
+        held, blocks = 0, {0: starting}
         failed = bytearray(n + 1)
         path: list[int] = []
         tried: list[int] = []  # per token of the path, how many of its start's tokens are left
-        at, left = 0, len(starting[0])
+        at, left = 0, -1
         while at < n:
-            options = starting[at]
+            if at // BLOCK != held:  # only long pieces have several blocks, of which three are kept
+                held = at // BLOCK
+                if held not in blocks:
+                    blocks = {b: x for b, x in blocks.items() if abs(b - held) == 1}
+                    blocks[held] = self._starting(piece, held)
+                starting = blocks[held]
+            options = starting[at % BLOCK]
+            if left < 0:
+                left = len(options)
             before = path[-1] if path else -1
             while left:
                 left -= 1
@@ -134,7 +155,7 @@ class BacktrackingBpe:
                     path.append(token)
                     tried.append(left)
                     at += lengths[token]
-                    left = len(starting[at]) if at < n else 0
+                    left = -1  # all that begin there
                     break
             else:
                 failed[at] = 1
@@ -221,7 +242,9 @@ class PieceTable:
             piece = raw[a:z]
             got = self.kept.get(piece)
             if got is None:
-                got = self.kept[piece] = np.array(self.bpe.encode_piece(piece.decode("utf-32-le").encode("utf-8")), np.int32)
+                got = np.array(self.bpe.encode_piece(piece.decode("utf-32-le").encode("utf-8")), np.int32)
+                if z - a <= 4 * KEPT_LENGTH:
+                    self.kept[piece] = got
             out.append(got)
         return out
 

@@ -32,6 +32,14 @@ def test_same_ids_as_merging_by_rank(bpe, exact, letters):
     assert [bpe.decode(x).decode() for x in got] == texts
 
 
+@pytest.mark.parametrize("block", [16, 33])
+def test_long_pieces_in_blocks(bpe, exact, monkeypatch, block):
+    monkeypatch.setattr("lodestone.llm.tokenizer.BLOCK", block)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(letters) for _ in range(700)) for letters in ("ab", "abcdefghijklmnopqrstuvwxyz", "éaß漢字", "the", "=-") for _ in range(20)]
+    assert encode_batch(pa.array(texts), PieceTable(bpe)).to_pylist() == [exact.encode_ordinary(t) for t in texts]
+
+
 def test_pieces_without_blank_are_linear(bpe, exact):
     for text in ("a" * 5_000, "ab" * 3_000, "漢" * 2_000, "=-" * 4_000):
         assert encode_batch(pa.array([text]), PieceTable(bpe)).to_pylist()[0] == exact.encode_ordinary(text)

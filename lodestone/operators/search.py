@@ -57,9 +57,14 @@ def _tf(toks: Column, phrase: list[str]) -> Column:
     return F.size(F.filter(starts, lambda i: F.slice(toks, i, m) == want))
 
 
-def one_per_id(memories: DataFrame) -> DataFrame:
-    """Memories without repeated deliveries: rows of one id are equal, so any of them."""
-    return memories.where(F.col("id").isNotNull()).dropDuplicates(["id"])
+def one_per_id(memories: DataFrame, *columns: Column | str) -> DataFrame:
+    """Memories without repeated deliveries: rows of one id are equal, so any of them.
+
+    With ``columns``, the id and these, computed before rows are brought together, so that what is
+    long stays where it is.
+    """
+    rows = memories.where(F.col("id").isNotNull())
+    return (rows.select("id", *columns) if columns else rows).dropDuplicates(["id"])
 
 
 LEXICAL = "query string, id bigint, source string, bm25 double, lex_rank int"
@@ -226,7 +231,7 @@ def with_details(found: DataFrame, memories: DataFrame, most: int = 300) -> Data
 
 def store_stats(memories: DataFrame, vectors: DataFrame) -> DataFrame:
     """One row: memories, sources, usable ids with a vector, latest creation."""
-    one = one_per_id(memories).agg(
+    one = one_per_id(memories, "source", "created_at").agg(
         F.count("*").alias("memories"), F.count_distinct("source").alias("sources"), F.max("created_at").alias("latest")
     )
     held = vectors.where("id is not null and embedding is not null").agg(F.count_distinct("id").alias("vectors"))
@@ -235,7 +240,7 @@ def store_stats(memories: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def breakdown(memories: DataFrame, column: str) -> DataFrame:
     """Memories per value of a column, most first; values differ by more than case, nulls are one."""
-    return one_per_id(memories).groupBy(F.lower(column).alias(column)).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
+    return one_per_id(memories, F.lower(column).alias(column)).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
 
 
 @F.pandas_udf(T.BinaryType())

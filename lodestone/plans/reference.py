@@ -74,7 +74,7 @@ def noise_filter(spark, sf):
 
 
 def category_detect(spark, sf):
-    return search.one_per_id(memories(spark, sf)).select("id", fx.category(F.col("content")).alias("detected"))
+    return search.one_per_id(memories(spark, sf), fx.category(F.col("content")).alias("detected"))
 
 
 def category_hist(spark, sf):
@@ -95,8 +95,7 @@ def entity_extract(spark, sf):
 
 
 def decay_score(spark, sf):
-    one = search.one_per_id(memories(spark, sf))
-    return one.select("id", F.round(fx.decay(F.col("created_at").cast("date"), as_of()), 6).alias("decay"))
+    return search.one_per_id(memories(spark, sf), F.round(fx.decay(F.col("created_at").cast("date"), as_of()), 6).alias("decay"))
 
 
 def freq_boost(spark, sf):
@@ -132,7 +131,7 @@ def archive_sources(spark, sf):
 
 
 def item_hash(spark, sf):
-    return search.one_per_id(memories(spark, sf)).select("id", fx.short_hash(F.col("content")).alias("hash"))
+    return search.one_per_id(memories(spark, sf), fx.short_hash(F.col("content")).alias("hash"))
 
 
 def clusters(spark, sf):
@@ -194,12 +193,12 @@ def scores_report(spark, sf):
 
 
 def pii_redact(spark, sf):
-    return search.one_per_id(memories(spark, sf)).select("id", fx.redact_secrets(F.col("content")).alias("redacted"))
+    return search.one_per_id(memories(spark, sf), fx.redact_secrets(F.col("content")).alias("redacted"))
 
 
 def pii_counts(spark, sf):
     counts = F.array(*(F.struct(F.lit(k).alias("kind"), fx.secret_count(F.col("content"), k).alias("n")) for k, _ in fx.SECRETS))
-    return search.one_per_id(memories(spark, sf)).select(F.explode(counts).alias("x")).groupBy("x.kind").agg(F.sum("x.n").alias("n"))
+    return search.one_per_id(memories(spark, sf), counts.alias("counts")).select(F.explode("counts").alias("x")).groupBy("x.kind").agg(F.sum("x.n").alias("n"))
 
 
 def promotion_apply_plan(spark, sf):
@@ -366,7 +365,7 @@ def hybrid_results(spark, sf):
 
 def round_exact(spark, sf):
     """Rounding of exact binary values: scores halved until they end in a 5 of the next decimal."""
-    one = search.one_per_id(memories(spark, sf)).where("score is not null")
+    one = search.one_per_id(memories(spark, sf), "score").where("score is not null")
     return one.select("id", fx.exact_round(F.round(F.col("score") * 32, 0) / 32, 4).alias("rounded"))
 
 

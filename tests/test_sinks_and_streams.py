@@ -77,9 +77,19 @@ def test_stream_of_changes_equals_the_batch(spark, tmp_path):
         ("create", "a", '{"name": "x"}'), ("update", "a", '{"note": "n"}'), ("delete", "a", None), ("create", "b", '{"name": "y"}'), ("update", "b", '{"name": "z"}')])]
     log = spark.createDataFrame(rows, feeds.LOG)
     feed = str(tmp_path / "feed")
-    for k in (3, 0, 4, 1, 2):  # out of order, one batch each
+    state = str(tmp_path / "state")
+    for n, k in enumerate((3, 0, 4, 1, 2)):  # out of order, one batch each
         log.where(F.col("line_no") == k).coalesce(1).write.mode("append").parquet(feed)
-        feeds.apply_stream(spark, feed, str(tmp_path / "state"), str(tmp_path / "checkpoint")).awaitTermination(60)
-    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["v=000000000004", "v=000000000005"]  # older ones are dropped
-    last = changes.alive_attributes(feeds.read_state(spark, str(tmp_path / "state"), 5))
-    assert {tuple(r) for r in last.collect()} == {tuple(r) for r in changes.apply_changes(log).collect()} == {("b", "name", "z")}
+        feeds.apply_stream(spark, feed, state, str(tmp_path / "checkpoint"), fan=2).awaitTermination(60)
+        seen = log.where(F.col("line_no").isin(*(3, 0, 4, 1, 2)[: n + 1]))
+        got = {tuple(r) for r in changes.alive_attributes(feeds.read_state(spark, state, n + 1, fan=2)).collect()}
+        assert got == {tuple(r) for r in changes.apply_changes(seen).collect()}
+    assert got == {("b", "name", "z")}
+    assert sorted(str(p.relative_to(tmp_path / "state")) for p in (tmp_path / "state").glob("*/*")) == ["level=0/run=000000000004", "level=2/run=000000000000"]
+
+
+def test_runs_of_a_state():
+    assert feeds.runs_of(0) == [] and feeds.runs_of(3, 4) == [(0, 0), (0, 1), (0, 2)] and feeds.runs_of(4, 4) == [(1, 0)]
+    for version in range(1, 70):  # each batch is in one run
+        spans = [(number * 4**level, (number + 1) * 4**level) for level, number in feeds.runs_of(version, 4)]
+        assert sorted(k for a, z in spans for k in range(a, z)) == list(range(version))

@@ -129,6 +129,8 @@ _AT = re.compile(r"@|\bat\b|[\[({]at[\])}]", re.I)
 #: A whole address with any ending of letters; no part of a path, a package or "user@host:path".
 _EMAIL = re.compile(r"(?<![\w.+%/@-])[\w+%-]+(?:\.[\w+%-]+)*@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}(?![\w@/-]|[.:]\w)")
 _PATH = re.compile(r"@.*[:/]\w")
+#: What names a passport.
+_PASSPORT = re.compile(r"passport|passeport|pasaporte|passaporto|paspoort|reisepass|ausweis", re.I)
 _DOT = re.compile(r"\.|\bdot\b", re.I)
 
 
@@ -148,9 +150,12 @@ def checked(text: str, start: int, end: int, kind: str) -> tuple[int, int] | Non
     elif kind == "phone":
         ok = 8 <= len(digits) <= 15
     elif kind == "id_number":
-        ok = 7 <= len(digits) <= 15 and (len(digits) != 15 or 97 - int(digits[:13]) % 97 == int(digits[13:]))
+        if re.search(r"[^\W\d_]", v):  # with letters, a passport's, which is named as such
+            ok = 5 <= len(digits) <= 9 and bool(_PASSPORT.search(text, max(0, start - 40), start))
+        else:
+            ok = len(digits) == 9 or (len(digits) == 15 and 97 - int(digits[:13]) % 97 == int(digits[13:]))
     elif kind == "address":
-        ok = bool(digits) and bool(re.search(r"[^\W\d_]{3}", v))
+        ok = bool(digits) and bool(re.search(r"[^\W\d_]{3}", v)) and bool(re.search(r"\w\W+\w", v))
     else:
         ok = len(re.findall(r"[^\W\d_]+", v)) >= 2 and not digits
     return (start, end) if ok else None

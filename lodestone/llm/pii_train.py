@@ -1,4 +1,4 @@
-"""Trains the tagger of pii_tagger.py: python -m lodestone.llm.pii_train DIR MINUTES.
+"""Trains the tagger of pii_tagger.py: python -m lodestone.llm.pii_train DIR MINUTES [go_on].
 
 Labelled spans come from labelling functions run over the memories of one directory and the
 directory's name_parts; each labelled value is then often replaced by one drawn at random with
@@ -165,7 +165,8 @@ def new_value(kind: int, v: str, rng: random.Random) -> str:
         return _digits(rng, rng.choice(PHONES))
     if kind == 2:
         if re.search(r"[A-Za-z]", v):
-            return _digits(rng, rng.choice(PASSPORTS))
+            made = _digits(rng, rng.choice(PASSPORTS))
+            return made.lower() if v.islower() else made
         if len(re.sub(r"\D", "", v)) != 15:
             return _digits(rng, rng.choice(("NNN-NN-NNNN", "NNN NN NNNN", "NNN-NN-NNNN")))
         d = rng.choice("12") + _digits(rng, "NNNNNNNNNNNN")
@@ -183,7 +184,15 @@ def new_value(kind: int, v: str, rng: random.Random) -> str:
 
         v = re.sub(rf"{W}+", word, v)
         return re.sub(r"\d+", lambda m: _digits(rng, "X" + "N" * (len(m[0]) - 1)) if len(m[0]) == 5 else str(rng.randrange(1, rng.choice((10, 100, 400)))), v)
-    return re.sub(rf"{W}{{3,}}", lambda m: m[0] if m[0].lower() in ("von", "van") or rng.random() < 0.3 else _like(rng, m[0]), v)
+    # without capitals nothing but a known or a telling part shows that it is a name: one part stays
+    words = [m.span() for m in re.finditer(rf"{W}{{3,}}", v)]
+    kept = rng.choice(words) if words and rng.random() < (0.9 if v.islower() or v.isupper() else 0.6) else None
+    return re.sub(rf"{W}{{3,}}", lambda m: m[0] if m[0].lower() in ("von", "van") or m.span() == kept or rng.random() < 0.3 else _like(rng, m[0]), v)
+
+
+def recased(text: str, upper: bool) -> str:
+    """The text in capitals or without, character for character."""
+    return "".join(c if len(x := c.upper() if upper else c.lower()) != 1 else x for c in text)
 
 
 def varied(text: str, spans: list[tuple[int, int, int]], rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
@@ -264,6 +273,8 @@ def crops(texts: list[str], label: Labeller, parts, seed: int):
                 a = rng.randrange(max(1, len(t) - CROP // 2))
             a = max(0, a)
             piece = t[a : a + CROP]
+            if (case := rng.random()) < 0.12:
+                piece = recased(piece, case < 0.08)
             y = np.zeros(CROP, np.int64)
             for x, z, k in s:
                 if z <= a or x >= a + CROP:
@@ -397,8 +408,9 @@ def _one(p: dict[str, np.ndarray]) -> tuple[float, dict[str, np.ndarray]]:
     return step(p, *next(_batches))
 
 
-def main(directory: str, minutes: float, processes: int = 8, seed: int = 7) -> None:
-    """Trains for so many minutes; each step adds up the gradients of one batch per process."""
+def main(directory: str, minutes: float, go_on: bool = False, processes: int = 8, seed: int = 7) -> None:
+    """Trains for so many minutes, anew or (``go_on``) from the weights there are; each step adds up the
+    gradients of one batch per process."""
     import multiprocessing as mp
 
     import pyarrow.dataset as ds
@@ -409,9 +421,11 @@ def main(directory: str, minutes: float, processes: int = 8, seed: int = 7) -> N
     label = Labeller(texts, parts)
     context = mp.get_context("fork")
     seeds = context.Queue()
+    p, m1, m2 = initial(seed), {}, {}
+    if go_on:
+        seed, p = seed + 100, {k: v.astype(np.float32) for k, v in pt.weights().items()}
     for k in range(processes):
         seeds.put(seed + k)
-    p, m1, m2 = initial(seed), {}, {}
     save = lambda: np.savez_compressed(pt.WEIGHTS, **{k: v.astype(np.float16) for k, v in p.items()})
     with context.Pool(processes, _begin, (texts, parts, label, seeds)) as pool:
         end, began, n, mean = time.time() + 60 * minutes, time.time(), 0, 0.0
@@ -420,7 +434,7 @@ def main(directory: str, minutes: float, processes: int = 8, seed: int = 7) -> N
             loss, grads = sum(x for x, _ in found) / processes, {k: sum(g[k] for _, g in found) / processes for k in p}
             n += 1
             mean += (loss - mean) * max(0.02, 1 / n)
-            rate = 6e-3 * min(1, n / 60) * (1 - done + 0.01)
+            rate = (2e-3 if go_on else 6e-3) * min(1, n / 60) * (1 - done + 0.01)
             norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
             for k, g in grads.items():
                 g = g * min(1.0, 1.0 / (norm + 1e-9))
@@ -434,4 +448,4 @@ def main(directory: str, minutes: float, processes: int = 8, seed: int = 7) -> N
 
 
 if __name__ == "__main__":
-    main(sys.argv[1], float(sys.argv[2]))
+    main(sys.argv[1], float(sys.argv[2]), "go_on" in sys.argv[3:])

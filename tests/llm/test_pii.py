@@ -168,6 +168,16 @@ def test_keys_of_id_numbers():
         assert (pii.checked(v, 0, len(v), "id_number") is not None) == want
 
 
+def test_what_the_characters_rule_out():
+    cases = [
+        ("Hash 14fe843 of it", "14fe843", "id_number", False), ("Reisepass-Nr. 44ot96479, kept", "44ot96479", "id_number", True), ("Passport: X1234567", "X1234567", "id_number", True),
+        ("id 519-34-8826", "519-34-8826", "id_number", True), ("no 1924221", "1924221", "id_number", False), ("call 5381235", "5381235", "phone", False),
+        ("at (6fbaaaf)", "6fbaaaf", "address", False), ("at 12 High Street", "12 High Street", "address", True), ("Lodel", "Lodel", "name", False),
+    ]
+    for text, v, kind, want in cases:
+        assert (pii.checked(text, text.index(v), text.index(v) + len(v), kind) is not None) == want, text
+
+
 def test_gradients_are_right():
     rng = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in tr.initial(1).items()}

@@ -218,7 +218,9 @@ def candidates(classes: DataFrame, limit: int, node_rows: int = NODE_ROWS) -> Da
     """Distinct pairs (a < b) of class ids whose fingerprints are near and that share an upper node."""
 
     def searched(rows: DataFrame, two_blocks: bool) -> DataFrame:
-        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_search_nodes(limit, two_blocks), "a bigint, b bigint")
+        # by a hash of the key: rows that come from a join by the key count as dealt out by it, so that
+        # repartition("key") is dropped, and the adaptive plan may then read them as the maps wrote them
+        return rows.repartition(F.xxhash64("key")).sortWithinPartitions("key").mapInArrow(_search_nodes(limit, two_blocks), "a bigint, b bigint")
 
     rows = classes.select("id", "hi", "lo", F.explode("keys").alias("key"))
     found = []
@@ -226,6 +228,7 @@ def candidates(classes: DataFrame, limit: int, node_rows: int = NODE_ROWS) -> Da
         # few nodes are large, mostly none: their keys are counted before anything moves
         hot = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > node_rows))
         some = not hot.isEmpty()
+        hot = F.broadcast(hot)  # one key per node_rows rows at most
         plain = rows.join(hot, "key", "left_anti") if some else rows
         found.append(searched(plain.select("key", "id", "hi", "lo", F.lit(-1).alias("side")), False))
         if not some:

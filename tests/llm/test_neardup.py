@@ -105,6 +105,26 @@ def test_rows_of_a_hot_node_grow_in_proportion(spark, monkeypatch):
     assert searched[1] < 11 * searched[0] and searched[1] < 300_000 * (1 + neardup.REFINED)
 
 
+def test_nodes_stay_whole_where_hot_keys_are_joined_adaptively(spark):
+    """Large tables: nothing says beforehand that the hot keys are few, only the adaptive plan sees it."""
+    from pyspark.sql import functions as F
+
+    twin = F.pmod("id", F.lit(3_000))  # twins stand in different partitions
+    r = lambda k: F.xxhash64(twin, F.lit(k))
+    classes = spark.range(6_000).select(
+        "id", r(1).alias("hi"), r(2).alias("lo"), F.array(F.when(twin % 30 == 0, F.lit(7)).otherwise(r(100)), r(101)).alias("keys"), F.array(*(F.hash(twin, F.lit(k)) for k in range(neardup.REFINED * neardup.DEPTH))).alias("more")
+    )
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    try:
+        got = neardup.candidates(classes, 10, node_rows=100).collect()
+    finally:
+        for k in limits:
+            spark.conf.unset(k)
+    assert {tuple(x) for x in got} == {(i, i + 3_000) for i in range(3_000)}
+
+
 def test_neighbours_in_gray_code_differ_in_one_bit():
     value = np.arange(64, dtype=np.uint64)
     code = value ^ (value >> np.uint64(1))
